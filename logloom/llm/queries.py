@@ -1,4 +1,4 @@
-"""The queries of this subpackage and the SQL of those that SQL can express."""
+"""The queries of this subpackage. SQL expresses none of them; tests compare with brute force instead."""
 
 from __future__ import annotations
 
@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import dedup, split
+from logloom.llm import dedup, mix, neighbours, split, subjects, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": dedup.p2_found,
         "p2_records": dedup.p2_records,
+        "p5_found": neighbours.p5_found,
+        "p5_neighbours": neighbours.p5_neighbours,
         "p6_found": split.p6_found,
         "p6_pieces": split.p6_pieces,
+        "p8_ids": tokens.p8_ids,
+        "p8_places": tokens.p8_places,
+        "p9_mix": mix.p9_mix,
+        "p9_shares": mix.p9_shares,
+        "p9_shares_all_tokens": mix.p9_shares_all_tokens,
+        "p10_found": subjects.p10_found,
+        "p10_composition": subjects.p10_composition,
     }
 
 
