@@ -4,7 +4,8 @@ Every text is tokenised into a character-class shape mask (digits ``9``, letters
 Each distinct mask is mapped to a parser once, a list of byte slices; all texts of a mask are then converted
 together by numpy, and local times go through versioned zone transition tables.
 
-Defined results: null, empty, blank, too long or senseless texts give a null instant, as do texts whose zone,
+Defined results: null, empty, blank, too long or senseless texts give a null instant (zero dates and counts, and
+whatever lies outside YEARS, are senseless), as do texts whose zone,
 date order or year would have to be guessed (unknown zone abbreviation or time zone name, slashes without a
 date order, no year without a load day). Repeated rows are converted alike; empty tables give empty results.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from logloom.functions import zones
 
 WIDTH = 48
+#: Instants before the first or from the second year on are senseless.
+YEARS = (1971, 2100)
 US = 1_000_000
 DAY = 86_400 * US
 
@@ -109,6 +112,11 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
     return era * 146_097 + yoe * 365 + yoe // 4 - yoe // 100 + doy - 719_468
 
 
+def year_start(year: int) -> int:
+    """Microseconds since 1970 of the first instant of a year."""
+    return int(_days(np.array([year]), np.array([1]), np.array([1]))[0]) * DAY
+
+
 def _leap(y: np.ndarray) -> np.ndarray:
     return (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
 
@@ -233,10 +241,11 @@ def _abbreviation(zone_name: object, word: bytes) -> int | None:
 
 @F.pandas_udf(T.LongType())
 def _utc_us(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    first, end = (year_start(y) for y in YEARS)
     for text, zone, order, loaded in parts:
         days = loaded.fillna(-(1 << 62)).astype(np.int64).to_numpy()
         us, ok = to_utc_us(text.tolist(), zone.to_numpy(), order.to_numpy(), days)
-        yield pd.Series(us).astype("Int64").mask(~ok)
+        yield pd.Series(us).astype("Int64").mask(~ok | (us < first) | (us >= end))
 
 
 def utc_us(text: Column, zone: Column, date_order: Column, load_day: Column | None = None) -> Column:
@@ -273,5 +282,5 @@ def normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each text that denotes one instant in 2025 or 2026."""
-    first, end = (int(_days(np.array([y]), np.array([1]), np.array([1]))[0]) * DAY for y in (2025, 2027))
+    first, end = year_start(2025), year_start(2027)
     return normalized(spark, sf).filter((F.col("utc_us") >= first) & (F.col("utc_us") < end)).select("record_kind", "record_id", "utc_us")
