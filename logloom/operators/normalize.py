@@ -44,7 +44,7 @@ def parse_timestamp(c: Column, ingested: Column) -> Column:
 
     The session's zone must be UTC.
     """
-    text = timestamp_text(c)
+    text = trim(timestamp_text(c))  # blanks around are allowed
     isolike = text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?$")
     iso = F.when(isolike, F.regexp_replace(F.regexp_replace(text, r" (?=Z|[+-]\d{2}:?\d{2}$)", ""), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
     rfc = F.when(
