@@ -29,3 +29,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, in at least as many partitions as there are cores, before work that outweighs moving it.
+
+    Small files come as few partitions. Where a scan has enough of them, as on large inputs, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

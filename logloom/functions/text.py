@@ -71,8 +71,12 @@ def redact(c: Column, rules: Sequence[tuple[str, str]] = REDACTIONS) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words between spaces, trimmed, without empty ones. Line breaks within a word stay."""
-    return F.filter(F.transform(F.split(c, " "), trim), lambda x: x != "")
+    """Words between spaces, trimmed, without empty ones. Line breaks within a word stay.
+
+    White space with a space in it parts words, so one replacement and one split do it, without a function on every word.
+    """
+    joined = trim(F.regexp_replace(c, r"(?U)(?<!\s)[\s&&[^ ]]*+ \s*+", " "))
+    return F.when(joined != "", F.split(joined, " ")).otherwise(F.when(c.isNotNull(), F.array().cast("array<string>")))
 
 
 def terms(question: Column) -> Column:

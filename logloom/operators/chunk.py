@@ -12,6 +12,8 @@ from logloom.functions.text import iso, redact, tokens
 def windows(words: Column, size: int = 512, overlap: int = 64) -> Column:
     """An array of (chunk_index, words) structs: windows of ``size`` words, each overlapping the one before.
 
+    ``words`` should be a plain column, as it is looked at for every window.
+
     Sizes below 8 count as 8, overlaps are cut to 0 and ``size`` - 1. No words, no windows.
     """
     size = max(8, size)
@@ -34,7 +36,7 @@ def render(severity="severity", message="message") -> Column:
 
 def chunk(entries: DataFrame, size: int = 512, overlap: int = 64, redacted: bool = True) -> DataFrame:
     """The chunks of every entry, secrets replaced after cutting."""
-    cut = entries.withColumn("_w", F.explode(windows(tokens(render()), size, overlap)))
+    cut = entries.withColumn("_words", tokens(render())).withColumn("_w", F.explode(windows(F.col("_words"), size, overlap)))
     text = F.array_join("_w.words", " ")
     out = cut.withColumn("chunk_index", F.col("_w.chunk_index")).withColumn("chunk_id", chunk_id(F.col("log_hash"), F.col("_w.chunk_index")))
     return out.withColumn("text", redact(text) if redacted else text).select(*schemas.names(schemas.CHUNK))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.storage import materialize
+from logloom.functions.storage import materialize, spread
 
 #: A type holds for a file if at least this share of the non-null values has it.
 DOMINANT = 0.9
@@ -223,16 +223,17 @@ def changes_between(before: dict[str, FieldSchema], after: dict[str, FieldSchema
 _CHANGE = "series_id bigint, file_no bigint, change_kind string, field_name string, new_name string"
 
 
-def _compare(group: pd.DataFrame) -> pd.DataFrame:
+def _compare(group: pa.Table) -> pa.Table:
     """The changes of one file: the schemas of it and its predecessor, a few rows whatever the number of records."""
     sides: dict[bool, dict[str, FieldSchema]] = {True: defaultdict(FieldSchema), False: defaultdict(FieldSchema)}
-    for r in group.itertuples(index=False):
-        sides[r.own][r.field].add(r.kind, r.form, r.n, r.numbers, r.total, r.letters)
+    columns = [group.column(c).to_pylist() for c in ("own", "field", "kind", "form", "n", "numbers", "total", "letters")]
+    for own, field, *values in zip(*columns):
+        sides[own][field].add(*values)
     rows = changes_between(sides[False], sides[True]) if sides[False] and sides[True] else []
-    out = pd.DataFrame(rows, columns=["change_kind", "field_name", "new_name"])
-    out.insert(0, "file_no", group["at"].iloc[0])
-    out.insert(0, "series_id", group["series_id"].iloc[0])
-    return out
+    series, file_no = group.column("series_id")[0].as_py(), group.column("at")[0].as_py()
+    arrays = [pa.array([series] * len(rows), pa.int64()), pa.array([file_no] * len(rows), pa.int64())]
+    arrays += [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
+    return pa.table(arrays, [x.split()[0] for x in _CHANGE.split(", ")])
 
 
 def schema_changes(schemas: DataFrame) -> DataFrame:
@@ -240,7 +241,7 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     columns = ["series_id", "field", "kind", "form", "n", "numbers", "total", "letters"]
     own = schemas.select(*columns, F.col("file_no").cast("bigint").alias("at"), F.lit(True).alias("own"))
     before = schemas.select(*columns, (F.col("file_no").cast("bigint") + 1).alias("at"), F.lit(False).alias("own"))
-    return own.unionByName(before).groupBy("series_id", "at").applyInPandas(_compare, _CHANGE)
+    return own.unionByName(before).groupBy("series_id", "at").applyInArrow(_compare, _CHANGE)
 
 
 _NAMES = "series_id bigint, file_no int, names map<string,string>"
@@ -324,7 +325,7 @@ def cast_records(records: DataFrame, names: DataFrame, types: DataFrame) -> Data
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/parsed_logs.parquet").select("record_id", "series_id", "file_no", "line_no", "fields", "payload")
+    return spread(spark.read.parquet(f"{sf}/parsed_logs.parquet").select("record_id", "series_id", "file_no", "line_no", "fields", "payload"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -39,12 +39,11 @@ class HashingEmbedder:
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            v = np.zeros(self.dims, np.float32)
-            for word in _WORD.findall((text or "").lower()):
-                k, sign = self._place(word)
-                v[k] += sign
+            places = [self._place(word) for word in _WORD.findall((text or "").lower())]
+            k, signs = zip(*places) if places else ((), ())
+            v = np.bincount(np.array(k, np.int64), np.array(signs, np.float64), self.dims)
             n = float(np.linalg.norm(v))
-            out.append(v / n if n else v)
+            out.append((v / n if n else v).astype(np.float32))
         return out
 
 

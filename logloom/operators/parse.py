@@ -186,19 +186,16 @@ def translate(pattern: str) -> tuple[str, list[tuple[str, int]]]:
     return "(?sU)" + "".join(out) + pattern[at:], names
 
 
-def _rule_fields(text: Column, rule: RegexRule) -> Column:
-    """The named groups that aren't blank, or null if the rule gives none."""
-    pattern, names = translate(rule.pattern)
+def _rule_fields(text: Column, pattern: str, names: list[tuple[str, int]]) -> Column:
+    """The named groups that aren't blank."""
     pairs = []
     for name, number in names:
         pairs += [F.lit(name), trim_quotes(trim(non_blank(F.regexp_extract(text, pattern, number))))]
-    if not pairs:
-        return F.lit(None).cast("map<string,string>")
-    found = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-    return F.when(text.rlike(pattern) & (F.size(found) > 0), found)
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
 def _stamped_text(text: Column) -> Column:
+    """Fields of a text that begins with a timestamp."""
     message = trim(F.regexp_extract(text, "(?U)" + STAMPED, 2))
     level = "(?iU)" + LEVEL
     has_level = message.rlike(level)
@@ -212,24 +209,33 @@ def _stamped_text(text: Column) -> Column:
         "request_id": request,
     }
     made = F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v)))
-    return F.when(text.rlike("(?U)" + STAMPED), F.map_filter(made, lambda _, v: v.isNotNull()))
+    return F.map_filter(made, lambda _, v: v.isNotNull())
 
 
 def parse(raw: DataFrame, rules: Sequence[RegexRule] = (SYSLOG_RULE,)) -> DataFrame:
-    """``raw`` with ``tier``, ``fields`` and ``parsed_message``."""
-    text = trim(F.col("raw_text"))
-    scannable = text.startswith("{") | text.rlike("(?U)" + STAMPED_JSON) | (text.rlike("(?U)" + STAMPED) & text.rlike("(?U)" + MARKER)) | text.rlike("(?U)" + PAIR)
-    scanned = raw.withColumn("_text", text).withColumn("_scan", _scan(F.when(scannable, text)))
+    """``raw`` with ``tier``, ``fields`` and ``parsed_message``.
+
+    The tier of a row is settled first, by one test after the other; then only that tier's fields are made.
+    """
     t = F.col("_text")
+    # All that the scanned tiers can match holds one of these marks.
+    scannable = t.contains("{") | t.contains("=") | t.contains('"')
+    scanned = raw.withColumn("_text", trim(F.col("raw_text"))).withColumn("_scan", _scan(F.when(scannable, t)))
+    used = [(f"rule:{r.name}", *translate(r.pattern)) for r in rules if r.pattern and r.pattern.strip()]
+    used = [(name, pattern, names) for name, pattern, names in used if names]
     parts = F.split(t, ",", 5)
-    commas = F.when(F.size(parts) == 5, F.map_from_arrays(F.array(*map(F.lit, COMMA_NAMES)), F.transform(parts, trim)))
-    used = [r for r in rules if r.pattern and r.pattern.strip()]
-    tiers = [(F.col("_scan.tier"), F.col("_scan.json")), (F.lit("commas"), commas)]
-    tiers += [(F.lit(f"rule:{r.name}"), _rule_fields(t, r)) for r in used]
-    tiers += [(F.lit("pairs"), F.col("_scan.pairs")), (F.lit("stamped_text"), _stamped_text(t))]
-    tiers.append((F.lit("text"), F.when(F.col("raw_text").isNotNull(), F.create_map(F.lit("message"), F.col("raw_text")))))
-    chosen = F.coalesce(*(F.when(f.isNotNull(), F.struct(n.alias("tier"), f.alias("fields"))) for n, f in tiers))
-    out = scanned.withColumn("_chosen", chosen).withColumn("tier", F.col("_chosen.tier")).withColumn("fields", F.col("_chosen.fields"))
-    lowered = F.transform_keys("fields", lambda k, _: F.lower(k))
-    message = F.when(F.col("tier") == "text", F.col("raw_text")).otherwise(F.coalesce(first_non_blank(lowered, MESSAGE_NAMES), F.col("raw_text")))
-    return out.withColumn("parsed_message", message).drop("_text", "_scan", "_chosen")
+    tier = F.when(F.col("_scan.tier").isNotNull(), F.col("_scan.tier")).when(F.size(parts) == 5, "commas")
+    for name, pattern, names in used:
+        some = F.concat(*(F.regexp_extract(t, pattern, k) for _, k in names))
+        tier = tier.when(t.rlike(pattern) & some.rlike(r"(?U)\S"), name)
+    tier = tier.when(F.col("_scan.pairs").isNotNull(), "pairs").when(t.rlike("(?U)" + STAMPED), "stamped_text").when(t.isNotNull(), "text")
+    own = F.col("tier")
+    commas = F.map_from_arrays(F.array(*map(F.lit, COMMA_NAMES)), F.transform(parts, trim))
+    fields = F.when(own == "commas", commas)
+    for name, pattern, names in used:
+        fields = fields.when(own == name, _rule_fields(t, pattern, names))
+    fields = fields.when(own == "pairs", F.col("_scan.pairs")).when(own == "stamped_text", _stamped_text(t))
+    fields = fields.when(own == "text", F.create_map(F.lit("message"), "raw_text")).otherwise(F.col("_scan.json"))
+    made = scanned.withColumn("tier", tier).withColumn("fields", fields).withColumn("_low", F.transform_keys("fields", lambda k, _: F.lower(k)))
+    message = F.when(own == "text", F.col("raw_text")).otherwise(F.coalesce(first_non_blank(F.col("_low"), MESSAGE_NAMES), F.col("raw_text")))
+    return made.withColumn("parsed_message", message).drop("_text", "_scan", "_low")

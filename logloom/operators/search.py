@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields
 from datetime import datetime
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.config import SearchOptions
 from logloom.functions.text import SEVERITY_ALIASES, overlap, terms
@@ -67,15 +70,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0) & (n < float("inf")), dot(a, b) / n)
 
 
+def cosine_to(vector: Sequence[float]) -> Callable[[Column], Column]:
+    """The same against one given vector: a matrix product for each Arrow batch, without a copy of the values."""
+    q = np.asarray(vector, np.float64)
+    norm = float(np.sqrt(q @ q))
+
+    @F.arrow_udf(T.DoubleType())
+    def run(vectors: pa.Array) -> pa.Array:
+        if isinstance(vectors, pa.ChunkedArray):
+            vectors = vectors.combine_chunks()
+        sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(sizes == len(q))
+        out, ok = np.zeros(len(sizes)), np.zeros(len(sizes), bool)
+        if len(rows) and 0 < norm < np.inf:
+            taken = vectors if len(rows) == len(sizes) else vectors.take(pa.array(rows))
+            x = taken.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
+            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                n = np.sqrt(np.einsum("ij,ij->i", x, x)) * norm
+                out[rows], ok[rows] = (x @ q) / n, (n > 0) & (n < np.inf)
+        return pa.array(out, mask=~ok)
+
+    return run
+
+
 def search(points: DataFrame, vector: Sequence[float] | Column, limit: int, query_filter: QueryFilter | None = None, vector_col: str = "vector", id_col: str = "point_id") -> DataFrame:
     """The ``limit`` (at least 1) points of highest cosine, with ``score``; equal scores by id. Exact.
 
     Points without a score (null, zero or other-sized vectors) are left out.
     """
     kept = query_filter.apply(points) if query_filter else points
-    q = vector if isinstance(vector, Column) else F.array(*(F.lit(float(x)) for x in vector))
-    scored = kept.withColumn("score", cosine(F.col(vector_col), q)).filter(F.col("score").isNotNull())
-    return scored.orderBy(F.desc("score"), id_col).limit(max(1, limit))
+    score = cosine(F.col(vector_col), vector) if isinstance(vector, Column) else cosine_to(vector)(F.col(vector_col))
+    # Points without a score come last and are dropped after the limit: a filter before it would compute scores twice.
+    top = kept.withColumn("score", score).orderBy(F.desc_nulls_last("score"), id_col).limit(max(1, limit))
+    return top.filter(F.col("score").isNotNull())
 
 
 def best_per_event(candidates: DataFrame, event: str = "log_hash", id_col: str = "point_id") -> DataFrame:

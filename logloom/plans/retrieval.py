@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
+from logloom.functions.storage import spread
 from logloom.operators import chat, chunk, normalize, parse, search
 from logloom.operators.embed import embed, embed_one, to_points
 from logloom.operators.search import QueryFilter
@@ -25,6 +26,11 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _scan(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table for work in Python or on long texts."""
+    return spread(_read(spark, sf, table).select(*columns))
+
+
 def _first_vector(df: DataFrame, id_col: str, vector: str) -> list[float]:
     """The query vector: that of the smallest id."""
     return list(df.orderBy(id_col).select(vector).first()[0])
@@ -72,13 +78,13 @@ def retrieve_chunks(spark, sf):
 
 def hybrid_rank(spark, sf):
     """Hashed vectors of whole texts against the question."""
-    docs = embed(_read(spark, sf, "documents").select("doc_id", "text", F.sha2(F.col("text"), 256).alias("log_hash")))
+    docs = embed(_scan(spark, sf, "documents", "doc_id", "text").withColumn("log_hash", F.sha2(F.col("text"), 256)))
     found = search.retrieve(docs, QUESTION, embed_one(QUESTION), 8, id_col="doc_id")
     return found.select("rank", "doc_id", F.round("rank_score", 6).alias("rank_score"))
 
 
 def embed_documents(spark, sf):
-    docs = embed(_read(spark, sf, "documents").select("doc_id", "text"))
+    docs = embed(_scan(spark, sf, "documents", "doc_id", "text"))
     return docs.select("doc_id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
 
 
@@ -147,8 +153,8 @@ def _redact(name):
 
 
 def chunk_documents(spark, sf):
-    docs = _read(spark, sf, "documents").select("doc_id", "text")
-    cut = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("h"), F.explode(chunk.windows(tx.tokens(F.col("text")), 64, 8)).alias("w"))
+    docs = _scan(spark, sf, "documents", "doc_id", "text").select("doc_id", F.sha2(F.col("text"), 256).alias("h"), tx.tokens(F.col("text")).alias("words"))
+    cut = docs.select("doc_id", "h", F.explode(chunk.windows(F.col("words"), 64, 8)).alias("w"))
     return cut.select("doc_id", "w.chunk_index", chunk.chunk_id(F.col("h"), F.col("w.chunk_index")).alias("chunk_id"), F.array_join("w.words", " ").alias("text"))
 
 
@@ -156,7 +162,7 @@ def chunk_documents(spark, sf):
 
 
 def _lines(spark, sf, *parts):
-    e = _read(spark, sf, "events").filter(F.col("event_type").isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull())
+    e = _scan(spark, sf, "events", "event_id", "ts", "event_type", "user_id", "value").filter(F.col("event_type").isNotNull() & F.col("user_id").isNotNull() & F.col("value").isNotNull())
     raw = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     return e.select("event_id", F.lit("ev").alias("source_id"), F.lit("app").alias("source_type"), raw.alias("raw_text"), F.lit(NOW).alias("ingested_at_utc"))
 
@@ -207,7 +213,8 @@ def normalize_lines(spark, sf):
 
 
 def _raw_entries(spark, sf):
-    return _read(spark, sf, "raw_logs").select("raw_id", "source_id", "source_type", "raw_text", F.lit(NOW).alias("ingested_at_utc"), "attributes")
+    raw = _scan(spark, sf, "raw_logs", "raw_id", "source_id", "source_type", "raw_text", "attributes")
+    return raw.select("raw_id", "source_id", "source_type", "raw_text", F.lit(NOW).alias("ingested_at_utc"), "attributes")
 
 
 def parse_raw_logs(spark, sf):
