@@ -29,15 +29,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.storage import spread
+
 #: Most labelled and other documents that the functions are fitted on, and most characters of each of them.
-FIT_LABELLED, FIT_OTHERS, FIT_CHARS = 4000, 4000, 20_000
+FIT_LABELLED, FIT_OTHERS, FIT_CHARS = 4000, 2000, 10_000
 #: Share of the sentences that makes a subject one of the document's.
 SHARE = 0.25
 #: Belief that a sentence of a labelled document is about one of its labels.
 TRUST = 0.97
-ROUNDS = 12
+ROUNDS = 8
 #: Added to each word's count in each class.
 SMOOTH = 0.02
+#: Sentences whose class a worker remembers.
+SEEN_AT_MOST = 1 << 18
 
 _LEAD = re.compile(
     r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?Z?\]?\s+)?(?:(?:DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL)\s+)?(?:(?P<address>[\w.-]+): )?(?:\d+[.)]\s+|[-*•–]\s+|#+\s+)?",
@@ -59,11 +63,19 @@ def sentences(text: str | None) -> list[tuple[str, str]]:
         for part in _END.split(body):
             part = part.strip()
             if part and not _BARE.fullmatch(part):
-                out.append((address, part))
+                out.append((address, masked(part)))
     return out
 
 
-@functools.lru_cache(maxsize=1 << 17)
+_DIGITS = re.compile(r"\d+")
+
+
+def masked(sentence: str) -> str:
+    """The sentence with numbers alike: what the functions look at."""
+    return _DIGITS.sub("0", sentence)
+
+
+@functools.lru_cache(maxsize=1 << 15)
 def features(sentence: str) -> tuple[tuple[str, ...], str, str]:
     """Words (and pairs of them), opening and ending."""
     words = _WORD.findall(sentence.casefold())
@@ -80,9 +92,9 @@ def values_of(item: Item) -> tuple[str, str, str, str]:
     return opening, ending, item[0] or item[2], item[3]
 
 
-def _sums(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by group."""
-    return np.stack([np.bincount(group, values[:, c], minlength=n) for c in range(values.shape[1])], axis=1)
+def _sums(group: np.ndarray, table: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the given rows of a table by group, a column at a time to save memory."""
+    return np.stack([np.bincount(group, table[rows, c], minlength=n) for c in range(table.shape[1])], axis=1)
 
 
 def _normalised(logs: np.ndarray) -> np.ndarray:
@@ -102,25 +114,23 @@ class Model:
         self.prior = np.zeros(self.classes)
         self.tables: list[dict[str, int]] = []
         self.accuracy = np.zeros((5, self.classes, self.classes + 1))
-
-    def lexicon_scores(self, sentence: str) -> np.ndarray:
-        scores = self.prior.copy()
-        for w in features(sentence)[0]:
-            if (x := self.lexicon.get(w)) is not None:
-                scores = scores + x
-        return scores
+        self._seen: dict[tuple, tuple[int, float]] = {}
+        self._lexicon_votes: dict[str, int] = {}
 
     def votes(self, item: Item) -> tuple[int, ...]:
         """A class from each function; ``classes`` if it abstains."""
-        known = [self.lexicon[w] for w in features(item[1])[0] if w in self.lexicon]
-        vote = self.classes
-        if known:
-            p = _normalised(self.prior + np.sum(known, axis=0))
-            best = int(p.argmax())
-            vote = best if p[best] > 0.5 else self.classes
+        if (vote := self._lexicon_votes.get(item[1])) is None:
+            known = [x for w in features(item[1])[0] if (x := self.lexicon.get(w)) is not None]
+            vote = self.classes
+            if known:
+                p = _normalised(self.prior + np.array(known).sum(axis=0))
+                best = int(p.argmax())
+                vote = best if p[best] > 0.5 else self.classes
+            if len(self._lexicon_votes) >= SEEN_AT_MOST:
+                self._lexicon_votes.clear()
+            self._lexicon_votes[item[1]] = vote
         return (vote, *(t.get(v, self.classes) for t, v in zip(self.tables, values_of(item))))
 
-    @functools.lru_cache(maxsize=1 << 14)
     def posterior(self, votes: tuple[int, ...]) -> np.ndarray:
         logs = self.class_share.copy()
         for k, v in enumerate(votes):
@@ -128,9 +138,16 @@ class Model:
         return _normalised(logs)
 
     def classify(self, item: Item) -> tuple[int, float]:
-        p = self.posterior(self.votes(item))
-        best = int(p.argmax())
-        return best, float(p[best])
+        """Class and its probability; equal sentences with equal votes of place are looked at once in a worker."""
+        key = item[1], self.tables[2].get(item[0] or item[2]), self.tables[3].get(item[3])
+        if (found := self._seen.get(key)) is None:
+            p = self.posterior(self.votes(item))
+            best = int(p.argmax())
+            found = best, float(p[best])
+            if len(self._seen) >= SEEN_AT_MOST:
+                self._seen.clear()
+            self._seen[key] = found
+        return found
 
 
 def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subjects: list[str]) -> Model | None:
@@ -155,15 +172,15 @@ def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subj
     names = sorted(w for w, c in used.items() if c >= 2)
     index = {w: k for k, w in enumerate(names)}
     known = [[index[w] for w in x if w in index] for x in words]
-    at = np.repeat(np.arange(len(items)), [len(x) for x in known])
-    word = np.array([w for x in known for w in x], np.int64)
+    at = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in known])
+    word = np.array([w for x in known for w in x], np.int32)
     doc = np.array(of)
     hint = np.array([_hint(a, n) for a in allowed])
     labelled = np.array([a is not None for a in allowed])
     # Words that all subjects' documents share alike speak for a sentence about none.
     seen = labelled[at]
     start = np.where(labelled[:, None], np.exp(hint), 0.0)
-    counts = _sums(word[seen], start[at[seen]], len(names))
+    counts = _sums(word[seen], start, at[seen], len(names))
     share = counts[:, :-1] / np.maximum(counts[:, :-1].sum(axis=0), 1e-9) + 1e-12
     share = share / share.sum(axis=1, keepdims=True)
     even = -(share * np.log(share)).sum(axis=1) / np.log(max(n - 1, 2))
@@ -174,24 +191,28 @@ def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subj
     own_share = np.full((len(docs), n), 1.0 / n)
     for _ in range(ROUNDS):
         logs = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(names)))
-        p = _normalised(hint + np.log(own_share[doc]) + _sums(at, logs[word], len(items)))
-        counts = _sums(word, p[at], len(names))
+        p = _normalised(hint + np.log(own_share[doc]) + _sums(at, logs, word, len(items)))
+        counts = _sums(word, p, at, len(names))
         class_share = (p.sum(axis=0) + 1) / (p.sum() + n)
-        own_share = _sums(doc, p, len(docs)) + class_share
+        own_share = _sums(doc, p, np.arange(len(items)), len(docs)) + class_share
         own_share /= own_share.sum(axis=1, keepdims=True)
     logs = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(names)))
     model.lexicon = {w: logs[k] - logs[k].mean() for w, k in index.items()}
     model.prior = np.log(class_share)
     # The other functions: what the lexicon says of the sentences with the same value, where it is of one mind.
-    found = [(_normalised(model.lexicon_scores(i[1]) + _hint(a, n)), values_of(i)) for i, a in zip(items, allowed)]
     for k in range(4):
-        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        for p, values in found:
-            if values[k]:
-                sums[values[k]] += p
-        model.tables.append({v: int(x.argmax()) for v, x in sums.items() if x.sum() >= 3 and x.max() > (0.8 if k < 2 else 0.3) * x.sum()})
+        codes: dict[str, int] = {}
+        values = np.array([codes.setdefault(values_of(i)[k], len(codes)) for i in items])
+        sums = _sums(values, p, np.arange(len(items)), len(codes))
+        total, most = sums.sum(axis=1), sums.max(axis=1)
+        sure = (total >= 3) & (most > (0.8 if k < 2 else 0.3) * total)
+        model.tables.append({v: int(sums[c].argmax()) for v, c in codes.items() if v and sure[c]})
     # Accuracies: EM over the distinct patterns of votes.
-    patterns: Counter = Counter((model.votes(i), a) for i, a in zip(items, allowed))
+    said: dict[Item, tuple[int, ...]] = {}
+    for i in items:
+        if i not in said:
+            said[i] = model.votes(i)
+    patterns: Counter = Counter((said[i], a) for i, a in zip(items, allowed))
     votes = np.array([v for v, _ in patterns])
     weight = np.array(list(patterns.values()), float)
     hints = np.array([_hint(a, n) for _, a in patterns])
@@ -210,6 +231,7 @@ def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subj
         for k in range(5):
             scores = scores + np.log(model.accuracy[k][:, votes[:, k]]).T
         p = _normalised(scores)
+    model._lexicon_votes.clear()
     return model
 
 
@@ -267,7 +289,7 @@ def sentence_subjects(docs: DataFrame, model: Model | None) -> DataFrame:
                 rows += [(doc_id, s, k, n) for s, (k, n) in subject_shares(own, text, service, source).items()]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "n_sentences", "n_all"])
 
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text", "service_name", "source").mapInPandas(run, _SHARES)
+    return spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text", "service_name", "source")).mapInPandas(run, _SHARES)
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
