@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.skew import join_by_size, total_rows
-from logloom.functions.storage import materialize
+from logloom.functions.storage import materialize, spread
 
 #: The name that holds the words of a message in JSON.
 WORDS_FIELD = "msg"
@@ -125,7 +125,7 @@ def copies(keys: DataFrame) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/log_entries.parquet").select("log_id", "message")
+    return spread(spark.read.parquet(f"{sf}/log_entries.parquet").select("log_id", "message"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.functions.storage import materialize
+from logloom.functions.storage import materialize, spread
 from logloom.llm.tokens import VOCABULARY, count_tokens
 
 #: Languages that are leaves of their own; all others share one leaf. Bounds the tree.
@@ -120,7 +120,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     targets = spark.read.parquet(f"{sf}/mix_targets.parquet")
-    return sized(spark.read.parquet(f"{sf}/documents.parquet"), targets), targets
+    return sized(spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang", "text")), targets), targets
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions.skew import join_by_size
-from logloom.functions.storage import materialize
+from logloom.functions.storage import materialize, spread
 
 #: The bounded sample that the index is fitted on: so many vectors, more only with the number of lists.
 SAMPLE, SAMPLE_A_LIST, SAMPLE_AT_MOST = 20_000, 16, 262_144
@@ -259,7 +259,7 @@ def _pairs(near: DataFrame) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/vector_points.parquet").select("point_no", "vector")
+    return spread(spark.read.parquet(f"{sf}/vector_points.parquet").select("point_no", "vector"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.storage import spread
+
 #: Where the vocabulary is on every executor; a parameter of all functions.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Texts are concatenated up to so many characters, which bounds the arrays.
@@ -210,9 +212,9 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str = VOCABULARY) ->
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The ids of every document."""
-    return encode(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return encode(spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")))
 
 
 def p8_places(spark: SparkSession, sf: str) -> DataFrame:
     """The ids of every document and where each begins."""
-    return encode_with_places(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return encode_with_places(spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")))
