@@ -63,7 +63,7 @@ def sentences(text: str | None) -> list[tuple[str, str]]:
         for part in _END.split(body):
             part = part.strip()
             if part and not _BARE.fullmatch(part):
-                out.append((address, masked(part)))
+                out.append((address, part))
     return out
 
 
@@ -161,7 +161,7 @@ def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subj
     for number, (doc_id, text, service, source) in enumerate(docs):
         own = frozenset(place[s] for s in labels.get(doc_id, ()) if s in place) or None
         for address, sentence in sentences(text[:FIT_CHARS] if text else text):
-            items.append((address, sentence, service or "", source or ""))
+            items.append((address, masked(sentence), service or "", source or ""))
             allowed.append(own)
             of.append(number)
     if not any(allowed):
@@ -247,7 +247,7 @@ def _hint(own: frozenset[int] | None, n: int) -> np.ndarray:
 def subject_shares(model: Model, text: str | None, service: str | None, source: str | None) -> dict[str, tuple[int, int]]:
     """For each subject of any sentence, its sentences and those of the whole document."""
     parts = sentences(text)
-    counts = Counter(model.classify((a, s, service or "", source or ""))[0] for a, s in parts)
+    counts = Counter(model.classify((a, masked(s), service or "", source or ""))[0] for a, s in parts)
     return {model.subjects[c]: (k, len(parts)) for c, k in counts.items() if c < len(model.subjects)}
 
 
