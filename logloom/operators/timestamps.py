@@ -258,12 +258,14 @@ def normalize_timestamps(entries: DataFrame, sources: DataFrame, text: str, load
     """``entries`` with ``utc_us``, the instant of column ``text`` by the zone and date order of its source.
 
     ``sources`` (one row a source) is joined by ``source_id``; its size decides how. Rows of unknown or null
-    sources stay, only texts with their own zone get an instant there.
+    sources stay, only texts with their own zone get an instant there. A column ``utc_us`` is replaced.
     """
-    own = sources.select(F.col("source_id").alias("_source"), F.col("time_zone").alias("_zone"), F.col("date_order").alias("_order"))
-    joined = entries.join(own, F.col("source_id") == F.col("_source"), "left")
-    us = utc_us(F.col(text), F.col("_zone"), F.col("_order"), F.col(load_day) if load_day else None)
-    return joined.withColumn("utc_us", us).drop("_source", "_zone", "_order")
+    taken = {c.lower() for c in entries.columns}
+    source, zone, order = (next(n for k in range(len(taken) + 1) if (n := f"_{c}{k}") not in taken) for c in ("source", "zone", "order"))
+    own = sources.select(F.col("source_id").alias(source), F.col("time_zone").alias(zone), F.col("date_order").alias(order))
+    joined = entries.join(own, F.col("source_id") == F.col(source), "left")
+    us = utc_us(F.col(text), F.col(zone), F.col(order), F.col(load_day) if load_day else None)
+    return joined.withColumn("utc_us", us).drop(source, zone, order)
 
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:

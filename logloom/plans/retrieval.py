@@ -276,9 +276,12 @@ def prompt_history(spark, sf):
 
 
 def _retrieved(spark, sf):
-    c = _read(spark, sf, "log_chunks").orderBy("chunk_no").limit(5)
-    ranked = c.withColumn("rank", F.row_number().over(W.orderBy("chunk_no")))  # five rows
-    return ranked.withColumn("timestamp_utc", F.lit(NOW))
+    """The chunks for the question, as retrieve_chunks finds them."""
+    chunks = _read(spark, sf, "log_chunks").select("chunk_id", "trace_id", "source_id", "source_type")
+    points = _chunk_points(spark, sf).join(chunks, "chunk_id").withColumn("timestamp_utc", F.lit(NOW))
+    first = _usable_vector(spark, sf)
+    vector = list(first[0]) if first else [0.0]
+    return search.retrieve(points, QUESTION, vector, 8, QueryFilter(severity="info"), id_col="point_no")
 
 
 def context_build(spark, sf):
@@ -333,6 +336,13 @@ def _redact_sql(name: str) -> str:
 def oracle_sql() -> dict[str, str]:
     cosine = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)))"
     iso = "'2026-05-01T00:00:00.0000000+00:00'"
+    retrieved = f"""
+            WITH p AS MATERIALIZED (SELECT point_no, chunk_id, vector::DOUBLE[] AS v FROM vector_points WHERE len(vector) = 128 AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x) OR isinf(x)))),
+            u AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS n FROM p), w AS MATERIALIZED (SELECT * FROM u WHERE n > 0),
+            q AS MATERIALIZED (SELECT v AS qv, n AS qn FROM w ORDER BY point_no LIMIT 1),
+            found AS (SELECT w.point_no, c.*, list_dot_product(v, qv) / (sqrt(n) * sqrt(qn)) AS score FROM w JOIN log_chunks c ON w.chunk_id = c.chunk_id, q WHERE severity = 'INFO' ORDER BY score DESC, point_no LIMIT 24),
+            best AS (SELECT *, 0.85 * score + 0.15 * {_overlap("coalesce(text, '')")} AS s FROM found QUALIFY row_number() OVER (PARTITION BY log_hash ORDER BY score DESC, point_no) = 1),
+            ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, score DESC, point_no) AS INTEGER) AS rank FROM best QUALIFY rank <= 8)"""
     return {
         "vector_topk": f"SELECT vec_id, round({cosine}, 6) AS score FROM embeddings ORDER BY {cosine} DESC, vec_id LIMIT 10",
         "vector_topk_filtered": f"""SELECT vec_id, label, round({cosine}, 6) AS score FROM embeddings
@@ -342,14 +352,8 @@ def oracle_sql() -> dict[str, str]:
             best AS (SELECT *, 0.85 * score + 0.15 * {_overlap("coalesce(text, '')")} AS s FROM found QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1)
             SELECT CAST(row_number() OVER (ORDER BY s DESC, score DESC, vec_id) AS INTEGER) AS rank, vec_id, label, round(s, 6) AS rank_score
             FROM best QUALIFY rank <= 8""",
-        "retrieve_chunks": f"""
-            WITH p AS MATERIALIZED (SELECT point_no, chunk_id, vector::DOUBLE[] AS v FROM vector_points WHERE len(vector) = 128 AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x) OR isinf(x)))),
-            u AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS n FROM p), w AS MATERIALIZED (SELECT * FROM u WHERE n > 0),
-            q AS MATERIALIZED (SELECT v AS qv, n AS qn FROM w ORDER BY point_no LIMIT 1),
-            found AS (SELECT point_no, log_hash, text, list_dot_product(v, qv) / (sqrt(n) * sqrt(qn)) AS score FROM w JOIN log_chunks USING (chunk_id), q WHERE severity = 'INFO' ORDER BY score DESC, point_no LIMIT 24),
-            best AS (SELECT *, 0.85 * score + 0.15 * {_overlap("coalesce(text, '')")} AS s FROM found QUALIFY row_number() OVER (PARTITION BY log_hash ORDER BY score DESC, point_no) = 1)
-            SELECT CAST(row_number() OVER (ORDER BY s DESC, score DESC, point_no) AS INTEGER) AS rank, point_no, log_hash, round(s, 6) AS rank_score
-            FROM best QUALIFY rank <= 8""",
+        "retrieve_chunks": f"""{retrieved}
+            SELECT rank, point_no, log_hash, round(s, 6) AS rank_score FROM ranked""",
         "metadata_filter": "SELECT log_id, service_name, severity, source_type FROM log_entries WHERE service_name = 'ledger' AND severity = 'ERROR' AND source_type = 'ledger'",
         "severity_filter_unfolded": "SELECT log_id, severity FROM log_entries WHERE severity = 'WARN'",
         "time_range": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-15'",
@@ -381,9 +385,8 @@ def oracle_sql() -> dict[str, str]:
             WITH m AS (SELECT thread_key AS session_id, doc_id, '[' || upper(coalesce(source, 'user')) || '] ' || coalesce(substring(text, 1, 40), '') AS line FROM documents
               WHERE thread_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY thread_key ORDER BY doc_id DESC) <= 8)
             SELECT session_id, trim(string_agg(line, chr(10) ORDER BY doc_id), ' ') AS history FROM m GROUP BY session_id""",
-        "context_build": f"""
-            WITH c AS (SELECT *, row_number() OVER (ORDER BY chunk_no) AS rank FROM log_chunks ORDER BY chunk_no LIMIT 5)
-            SELECT string_agg('[' || rank || '] ts=' || {iso} || ' severity=' || severity || ' service=' || service_name || ' trace=' || trace_id || ' source=' || source_id || '/' || source_type || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY rank) AS context FROM c""",
-        "citations": f"""SELECT CAST(row_number() OVER (ORDER BY chunk_no) AS INTEGER) AS id, {iso} AS timestamp, severity, service_name, trace_id, source_id FROM log_chunks ORDER BY chunk_no LIMIT 5""",
+        "context_build": f"""{retrieved}
+            SELECT string_agg('[' || rank || '] ts=' || {iso} || ' severity=' || severity || ' service=' || service_name || ' trace=' || trace_id || ' source=' || source_id || '/' || source_type || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY rank) AS context FROM ranked""",
+        "citations": f"{retrieved} SELECT rank AS id, {iso} AS timestamp, severity, service_name, trace_id, source_id FROM ranked",
         **{name: _redact_sql(name) for name in _SECRETS},
     }
