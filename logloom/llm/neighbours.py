@@ -5,12 +5,14 @@ product-quantised. Every vector is also a query and visits the lists of its near
 inner products with the codewords ranks the codes (asymmetric distances), and the best are reranked by exact cosines.
 
 Lists and the queries that visit them are cut into blocks of bounded size, so a list that holds a third of all
-vectors becomes a grid of tasks. Equal vectors are searched for once: a class of copies is its own neighbourhood, and
-only a few members of each class can be among the k nearest of others, those of smallest id.
+vectors becomes a grid of tasks. The copies of a vector are each other's nearest, found by its hash alone. Of a vector
+with many copies only the k + 1 of smallest id can be among the nearest of others and are searched; no vector is
+shuffled but to the lists it is in or visits.
 
 Defined results: vectors that are null, all zero, hold a value that isn't finite or haven't ``dims`` elements are
 neither given nor counted. Of equal cosines the smaller id is nearer. With fewer than k other vectors all are
-neighbours. Empty tables give empty results. Rows of one id are one point.
+neighbours. Empty tables give empty results. Rows of one id with equal vectors are one point; an id with different
+vectors has the nearest of them all and never itself.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.functions.skew import join_by_size
+from logloom.functions.skew import HOT_SHARE, join_by_size
 from logloom.functions.storage import materialize, spread
 
 #: The bounded sample that the index is fitted on: so many vectors, more only with the number of lists.
 SAMPLE, SAMPLE_A_LIST, SAMPLE_AT_MOST = 20_000, 16, 262_144
 LISTS_AT_MOST = SAMPLE_AT_MOST // SAMPLE_A_LIST
 #: Lists that a query visits: this many, more if they are short, to meet about SCAN vectors.
-PROBES, SCAN = 4, 1024
+PROBES, SCAN = 2, 512
 PARTS, CODES = 16, 256
 #: Codes reranked exactly for each query and block.
 RERANK = 64
@@ -158,9 +160,8 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def fit(vectors: DataFrame) -> Index | None:
-    """Fits on a sample of at most SAMPLE_AT_MOST vectors, those of smallest hash."""
-    n = vectors.count()
+def fit(vectors: DataFrame, n: int) -> Index | None:
+    """Fits on a sample of at most SAMPLE_AT_MOST of ``n`` vectors, those of smallest hash."""
     if n == 0:
         return None
     lists = min(LISTS_AT_MOST, 1 << max(0, round(math.log2(math.sqrt(n)))))
@@ -191,6 +192,17 @@ def _assign(index):
 _NEAR = "point bigint, other bigint, cosine float"
 
 
+def _few_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Rows by id, of equal vectors the first ``most`` only."""
+    order = np.argsort(ids, kind="stable")
+    _, same = np.unique(np.ascontiguousarray(x[order]).view(f"V{x.dtype.itemsize * x.shape[1]}").ravel(), return_inverse=True)
+    grouped = np.argsort(same, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(same))[:-1]])
+    rank = np.empty(len(order), np.int64)
+    rank[grouped] = np.arange(len(order)) - starts[same[grouped]]
+    return order[rank < most]
+
+
 def _search(index, k: int):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["point", "other", "cosine"]
@@ -199,18 +211,21 @@ def _search(index, k: int):
         ids, q_ids = block.column("point").to_numpy(), queries.column("query").to_numpy()
         x, q = _matrix(block.column("unit").combine_chunks()), _matrix(queries.column("q_unit").combine_chunks())
         codes = _matrix(block.column("code").combine_chunks(), np.uint8)
+        few = _few_copies(ids, x, k + 1)
+        ids, x, codes = ids[few], x[few], codes[few]
         return pa.table([pa.array(c) for c in index.value.search(ids, x, codes, q_ids, q, k)], names)
 
     return run
 
 
-def nearest_of_all(vectors: DataFrame, k: int) -> DataFrame:
-    """point, other, cosine of the k nearest of each vector; ``vectors`` has point, same, unit, all distinct."""
+def nearest_of_all(vectors: DataFrame, n: int, k: int) -> DataFrame:
+    """point, other, cosine of about the k nearest of each vector. ``vectors``: point, same, unit, about ``n`` rows."""
     spark = vectors.sparkSession
-    fitted = fit(vectors)
+    fitted = fit(vectors, n)
     if fitted is None:
         return spark.createDataFrame([], _NEAR)
     index = spark.sparkContext.broadcast(fitted)  # at most LISTS_AT_MOST centroids and the codebooks
+    # Stored, as it is read three times.
     assigned = materialize(vectors.select("point", "unit").mapInArrow(_assign(index), _ASSIGNED), "assigned")
     # How many blocks each list has and how many groups of queries visit it; at most LISTS_AT_MOST rows.
     visits = assigned.select(F.posexplode("visits").alias("rank", "list"))
@@ -223,35 +238,34 @@ def nearest_of_all(vectors: DataFrame, k: int) -> DataFrame:
     cell = ["list", "block", "group"]
     queries = queries.select(*(F.col(c).alias(f"q_{c}") for c in cell), "query", "q_unit")
     found = members.select(*cell, "point", "unit", "code").groupBy(*cell).cogroup(queries.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(_search(index, k), _NEAR)
-    return _best(found, k)
+    return found
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each point of those found; a few rows a point."""
+    """The k nearest of each point of those found, each once; a few rows a point."""
+    once = found.groupBy("point", "other").agg(F.max("cosine").alias("cosine"))
     order = W.partitionBy("point").orderBy(F.desc("cosine"), "other")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    return once.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
 def neighbours(points: DataFrame, k: int = 5, dims: int = 128) -> DataFrame:
     """point, other, cosine: the k nearest others of every usable point. ``points``: an id, a vector."""
-    units = materialize(usable(points, dims).dropDuplicates(["point"]), "units")
-    # The k + 1 members of smallest id stand for their class; the limit by rank is applied before the shuffle.
+    units = usable(points, dims)
+    keys = materialize(units.select("point", "same").distinct(), "keys")
+    n = keys.count()
+    # Copies: the k + 1 of smallest id of each vector; the limit by rank is applied before the shuffle.
     rank = F.row_number().over(W.partitionBy("same").orderBy("point"))
-    members = materialize(units.withColumn("rank", rank).filter(F.col("rank") <= k + 1), "members")
-    first = members.filter("rank = 1").select("point", "same", "unit")
-    classes = members.groupBy("same").agg(F.min("point").alias("first"), F.sort_array(F.collect_list("point")).alias("ids"))
-    near = nearest_of_all(first, k)
-    # Between classes: their first members' neighbours, each with the members of its class.
-    by_first = classes.select("first", "ids")
-    wide = near.join(by_first.withColumnRenamed("first", "other"), "other").select("point", "cosine", F.explode("ids").alias("near"))
-    own = by_first.filter(F.size("ids") <= k).select(F.col("first").alias("point"), F.explode("ids").alias("member"))
-    between = own.join(wide, "point").select(F.col("member").alias("point"), F.col("near").alias("other"), "cosine")
-    # Within classes: the members of smallest id, for each of the copies.
-    counts = units.groupBy("same").agg(F.count("*").alias("n")).filter("n > 1")
-    several = counts.join(classes.select("same", "ids"), "same")
-    copies = join_by_size(units.select("point", "same"), several, ["same"], "n", units.agg(F.count("*")).scalar())
-    within = copies.select("point", F.explode("ids").alias("other"), F.lit(1.0).cast("float").alias("cosine")).filter("point <> other")
-    return _best(between.unionByName(within), k)
+    first = keys.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+    ids = first.groupBy("same").agg(F.sort_array(F.collect_list("point")).alias("ids")).filter(F.size("ids") > 1)
+    several = materialize(keys.groupBy("same").agg(F.count("*").alias("n")).filter("n > 1").join(ids, "same"), "copies")
+    copies = join_by_size(keys, several, ["same"], "n", F.lit(n))
+    # Nearer than anything that is found by search, whatever its rounding.
+    within = copies.select("point", F.explode("ids").alias("other"), F.lit(2.0).cast("float").alias("cosine")).filter("point <> other")
+    # Surplus copies of vectors that hold more than a thousandth of all, fewer than a thousand vectors, aren't searched.
+    hot = several.filter((F.col("n") > k + 1) & (F.col("n") * HOT_SHARE > n)).select("same", F.element_at("ids", -1).alias("last"))
+    searched = units.join(F.broadcast(hot), "same", "left").filter(F.col("last").isNull() | (F.col("point") <= F.col("last"))).drop("last")
+    near = nearest_of_all(searched, n, k)
+    return _best(near.unionByName(within), k).withColumn("cosine", F.least("cosine", F.lit(1.0).cast("float")))
 
 
 def _pairs(near: DataFrame) -> DataFrame:
