@@ -6,10 +6,11 @@ what they can't use either goes to the level above. Each leaf then takes whole e
 of one more, by tokens, in an order seeded by epoch. The prefix needs no task that sees a whole leaf: documents are
 spread over hash buckets, the buckets' tokens are summed up in order, and each document adds its place in its bucket.
 
-Defined results: documents of null or unlisted sources are never used, documents without tokens add nothing and are
+Defined results: documents without id and of null or unlisted sources are never used, documents without tokens add nothing and are
 never used either. A listed source without documents has an actual share of 0, its share goes to the others. Without
 a given total, the total is the largest for which every source that has documents gets its share exactly (up to
-half a document); with a given total, shortages are shared out and reported. Empty tables give empty results.
+half a document); with a given total, shortages are shared out and reported. Targets with nulls
+count for nothing. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -85,7 +86,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     The driver sees one row for each target and for each leaf, at most ``len(LANGUAGES) + 1`` times as many.
     """
     spark = docs.sparkSession
-    goals = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.filter("source is not null").collect()}
+    docs = docs.select("doc_id", "source", "language", "n_tokens").filter("doc_id is not null")
+    usable = targets.filter("source is not null and target_share is not null and max_repeats is not null")
+    goals = {r["source"]: (r["target_share"], r["max_repeats"]) for r in usable.collect()}
     supply = {(r["source"], r["language"]): r["n"] for r in docs.groupBy("source", "language").agg(F.sum("n_tokens").alias("n")).collect()}
     rows = []
     for leaf, amount in budgets(supply, goals, total).items():

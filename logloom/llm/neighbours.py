@@ -10,7 +10,7 @@ with many copies only the k + 1 of smallest id can be among the nearest of other
 shuffled but to the lists it is in or visits.
 
 Defined results: vectors that are null, all zero, hold a value that isn't finite or haven't ``dims`` elements are
-neither given nor counted. Of equal cosines the smaller id is nearer. With fewer than k other vectors all are
+neither given nor counted, nor are points without id. Of equal cosines the smaller id is nearer. With fewer than k other vectors all are
 neighbours. Empty tables give empty results. Rows of one id with equal vectors are one point; an id with different
 vectors has the nearest of them all and never itself.
 """
@@ -135,7 +135,7 @@ def _units(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1)
-            rows = np.flatnonzero(np.asarray(vectors.value_lengths().fill_null(-1)) == dims)
+            rows = np.flatnonzero((np.asarray(vectors.value_lengths().fill_null(-1)) == dims) & np.asarray(batch.column(0).is_valid()))
             taken = vectors.take(pa.array(rows))
             flat = taken.flatten()
             x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(rows), dims).astype(np.float64)
@@ -153,7 +153,7 @@ def _units(dims: int):
 
 def usable(points: DataFrame, dims: int) -> DataFrame:
     """point, same (equal for equal directions), unit (the vector at unit length, packed)."""
-    return points.mapInArrow(_units(dims), _UNIT)
+    return points.select(*points.columns[:2]).mapInArrow(_units(dims), _UNIT)
 
 
 def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:

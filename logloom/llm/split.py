@@ -8,7 +8,7 @@ a whole character. Where there is no boundary within the limit the cut is hard,
 The overlap shrinks only where a full one would leave the next boundary out of reach of the next piece.
 
 Defined results: null texts and texts within the limit have no pieces; blank ones over it are cut like any other
-(white space is a boundary). Kinds without a row in the limits aren't cut. A limit below four bytes still makes
+(white space is a boundary). Items without id or kind, and kinds without a row in the limits, aren't cut. A limit below four bytes still makes
 pieces of one character at least. Very long texts are cut whole. Empty tables give empty results.
 """
 
@@ -114,7 +114,8 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
 
     Only texts over the limit reach Python; the rest is dropped by their length in the scan's stage.
     """
-    over = items.join(limits.select("item_kind", "max_bytes", "overlap_bytes"), "item_kind").filter(F.octet_length("text") > F.col("max_bytes"))
+    own = items.select("item_kind", "item_id", "text").filter(F.col("item_id").isNotNull())
+    over = own.join(limits.select("item_kind", "max_bytes", "overlap_bytes"), "item_kind").filter(F.octet_length("text") > F.col("max_bytes"))
     return over.select("item_kind", "item_id", "text", "max_bytes", "overlap_bytes").mapInPandas(_cut_batches, _PIECES)
 
 

@@ -11,7 +11,7 @@ The functions are fitted on a bounded sample: at most FIT_LABELLED labelled and
 smallest hash, so that the same tables give the same model; everything else reads all documents. A label only narrows
 the classes that a document's sentences may have at first, since labels can be wrong or missing.
 
-Defined results: null, empty and blank texts have no subject, nor have texts whose sentences the functions say nothing
+Defined results: null, empty and blank texts and those without id have no subject, nor have texts whose sentences the functions say nothing
 of. Repeated documents get the same subjects. Very long texts are read whole. Labels with null document or subject, of
 unknown documents or of subjects not in the table are ignored. Without any labels no document gets a subject. Empty
 tables give empty results.
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | No
     """Fits on the bounded sample, on the driver."""
     names = [r["subject"] for r in subjects.filter("subject is not null").select("subject").distinct().collect()]
     usable = labels.filter("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
-    real = docs.filter(F.col("text").isNotNull())
+    real = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = usable.select("doc_id").distinct()
     labelled = _sample(real.join(ids, "doc_id", "left_semi"), FIT_LABELLED).toPandas()
     others = _sample(real.join(ids, "doc_id", "left_anti"), FIT_OTHERS).toPandas()
@@ -289,7 +289,7 @@ def sentence_subjects(docs: DataFrame, model: Model | None) -> DataFrame:
                 rows += [(doc_id, s, k, n) for s, (k, n) in subject_shares(own, text, service, source).items()]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "n_sentences", "n_all"])
 
-    return spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text", "service_name", "source")).mapInPandas(run, _SHARES)
+    return spread(docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "service_name", "source")).mapInPandas(run, _SHARES)
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:

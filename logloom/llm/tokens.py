@@ -190,13 +190,14 @@ def _encode_batches(path: str, what: str):
 
 
 def _with(docs: DataFrame, text: str | Column, what: str, added: str, path: str) -> DataFrame:
-    keys = [c for c in docs.columns if c != text]
+    made = [x.split()[0] for x in added.split(", ")]
+    keys = [c for c in docs.columns if c != text and c.lower() not in made]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema) + ", " + added
     return docs.select(*keys, text).mapInArrow(_encode_batches(path, what), schema)
 
 
 def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """``docs`` with the ids of column ``text`` in its place."""
+    """``docs`` with the ids of column ``text`` in its place. A column ``ids`` is replaced, as are those added below."""
     return _with(docs, text, "ids", "ids array<int>", path)
 
 

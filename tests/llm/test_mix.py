@@ -1,6 +1,7 @@
 import pytest
 
 from logloom.llm import mix
+from pyspark.sql import functions as F
 
 
 def test_budgets_go_to_siblings_first():
@@ -24,9 +25,10 @@ def docs(spark, rows):
 
 def test_mix_and_shares(spark):
     rows = [(k, "big", "en", 10) for k in range(2000)] + [(5000 + k, "small", "de", 10) for k in range(20)] + [(9000, "none", "en", 10)]
-    targets = spark.createDataFrame([("big", 0.9, 1), ("small", 0.1, 3), ("absent", 0.0, 2)], "source string, target_share double, max_repeats int")
-    d = docs(spark, rows)
+    targets = spark.createDataFrame([("big", 0.9, 1), ("small", 0.1, 3), ("absent", 0.0, 2), ("big", None, None)], "source string, target_share double, max_repeats int")
+    d = docs(spark, rows + [(None, "big", "en", 10)]).withColumn("epochs", F.lit(7)).withColumn("rest", F.lit(7))
     got = mix.mix(d, targets, seed=1)
+    targets = targets.filter("target_share is not null")
     out = {r["source"]: r for r in mix.shares(got, targets).collect()}
     assert out["small"]["tokens"] == 600 and out["small"]["most_repeats"] == 3 and out["big"]["tokens"] == pytest.approx(5400, abs=10)
     assert out["big"]["met"] and out["absent"]["tokens"] == 0

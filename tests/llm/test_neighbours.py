@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from logloom.llm import neighbours as nb
+from pyspark.sql import functions as F
 
 SCHEMA = "point_no bigint, vector array<float>"
 
@@ -45,8 +46,8 @@ def test_odd_vectors_copies_and_ties(spark):
     x = clustered(60, 8, 1)
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
     rows += [(100 + k, rows[7][1]) for k in range(12)] + [(200 + k, rows[9][1]) for k in range(2)]
-    rows += [(300, None), (301, []), (302, [0.0] * 8), (303, [float("nan")] + [1.0] * 7), (304, [float("inf")] + [1.0] * 7), (305, [1.0] * 9), (306, [None] + [1.0] * 7), (5, rows[5][1])]
-    want, got = brute(rows[:74], 5, 8), found(spark.createDataFrame(rows, SCHEMA), 5, 8)
+    rows += [(300, None), (301, []), (302, [0.0] * 8), (303, [float("nan")] + [1.0] * 7), (304, [float("inf")] + [1.0] * 7), (305, [1.0] * 9), (None, [1.0] * 8), (306, [None] + [1.0] * 7), (5, rows[5][1])]
+    want, got = brute(rows[:74], 5, 8), found(spark.createDataFrame(rows, SCHEMA).withColumn("same", F.lit(1)).withColumn("list", F.lit(1)), 5, 8)
     assert set(got) == set(want)
     assert got[7] == {100, 101, 102, 103, 104} and got[111] == {7, 100, 101, 102, 103} and {200, 201} <= got[9]
     assert sum(len(got[i] & w) for i, (w, _) in want.items()) / (5 * len(want)) >= 0.98

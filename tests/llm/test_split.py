@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logloom.llm import split
+from pyspark.sql import functions as F
 
 TEXTS = st.text(alphabet="ab cé\n.,;。，😀　!?x", max_size=400)
 
@@ -44,8 +45,8 @@ def test_boundaries_and_overlap():
 
 
 def test_operator(spark):
-    rows = [("a", 1, "x" * 50), ("a", 1, "x" * 50), ("a", 2, None), ("a", 3, ""), ("a", 4, "y z " * 20), ("b", 5, "x" * 5000), ("a", 6, " " * 50), (None, 7, "x" * 50)]
-    items = spark.createDataFrame(rows, "item_kind string, item_id bigint, text string")
+    rows = [("a", 1, "x" * 50), ("a", 1, "x" * 50), ("a", 2, None), ("a", 3, ""), ("a", 4, "y z " * 20), ("b", 5, "x" * 5000), ("a", 6, " " * 50), (None, 7, "x" * 50), ("a", None, "x" * 50)]
+    items = spark.createDataFrame(rows, "item_kind string, item_id bigint, text string").withColumn("max_bytes", F.lit(1))
     limits = spark.createDataFrame([("a", 40, 4)], "item_kind string, max_bytes int, overlap_bytes int")
     got = split.split_items(items, limits).collect()
     assert {r["item_id"] for r in got} == {1, 4, 6} and {r["item_id"] for r in got if r["forced"]} == {1}

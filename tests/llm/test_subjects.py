@@ -45,7 +45,7 @@ def test_held_out_accuracy():
 
 def test_operator(spark):
     docs, truth = corpus(120, 5)
-    rows = docs + [(900, None, None, None), (901, "", "x", None), (902, " \n ", None, "y"), (903, docs[0][1] * 500, None, None), (0, *docs[0][1:])]
+    rows = docs + [(900, None, None, None), (901, "", "x", None), (902, " \n ", None, "y"), (903, docs[0][1] * 500, None, None), (None, docs[0][1], None, None), (0, *docs[0][1:])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, service_name string, source string")
     labels = [(k, w) for k in range(40) for w in sorted(truth[k])] + [(None, "law"), (3, None), (7777, "law"), (5, "unknown")]
     lab = spark.createDataFrame(labels, "doc_id bigint, subject string")

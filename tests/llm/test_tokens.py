@@ -45,5 +45,7 @@ def test_operator(spark):
     assert got[1] == [31373, 995] and got[2] == [] and got[3] == [] and len(got[4]) > 300_000
     assert {r["doc_id"]: r["n_tokens"] for r in t.count_tokens(df).collect()}[1] == 2
     assert t.encode_with_places(df.filter("doc_id = 1")).first()["starts"] == [0, 5]
+    clash = df.withColumn("ids", df.doc_id).withColumn("extra", df.doc_id)
+    assert t.encode(clash).columns == ["doc_id", "extra", "ids"]
     assert t.encode(df.limit(0)).count() == 0
     assert t.Encoder(t.VOCABULARY).encode(["\ud800"]) == t.Encoder(t.VOCABULARY).encode(["�"])
