@@ -30,17 +30,26 @@ RESULT = "raw_logs_read int, chunks_created int, vectors_upserted int, completed
 
 def raw_to_points(raw: DataFrame, options: Options = Options(), factory: Callable[[], Embedder] | None = None) -> DataFrame:
     """Raw entries to points, without noise: a plan without a shuffle."""
+    return _to_points(_kept(raw, options), options, factory)
+
+
+def _kept(raw: DataFrame, options: Options) -> DataFrame:
+    return drop_noise(raw, options.ingest.noise_patterns) if options.ingest.drop_noise else raw
+
+
+def _to_points(kept: DataFrame, options: Options, factory: Callable[[], Embedder] | None) -> DataFrame:
     o = options.ingest
-    kept = drop_noise(raw, o.noise_patterns) if o.drop_noise else raw
     chunks = chunk(normalize(parse(kept.filter(~is_blank(F.col("raw_text"))), o.rules)), o.chunk_tokens, o.overlap_tokens)
     return to_points(chunks, factory, options.embedding.batch_size, options.embedding.dims)
 
 
 def _ingest(raw: DataFrame, store: PointStore, options: Options, now: datetime, factory) -> dict[str, int]:
     """Writes the points of ``raw``; then retention, unless there were none. Counts as the data passes."""
-    read, made = Observation(), Observation()
-    counted = raw.observe(read, F.count(F.lit(1)).alias("n"))
-    store.upsert(raw_to_points(counted, options, factory).observe(made, F.count(F.lit(1)).alias("n")))
+    read, left, made = Observation(), Observation(), Observation()
+    n = F.count(F.lit(1)).alias("n")
+    kept = _kept(raw.observe(read, n), options).observe(left, n)
+    store.upsert(_to_points(kept, options, factory).observe(made, n))
+    log.info("%d entries dropped as noise", read.get["n"] - left.get["n"])
     counts = {"raw_logs_read": read.get["n"], "chunks_created": made.get["n"], "vectors_upserted": made.get["n"]}
     if counts["chunks_created"]:
         store.delete_before(now - timedelta(days=options.ingest.retention_days))
@@ -84,7 +93,7 @@ def respond(run: Callable[[], DataFrame]) -> tuple[int, dict]:
             cause = cause.__cause__ or cause.__context__
         status = 503 if any(isinstance(c, OSError) for c in causes) else 500
         inner = str(causes[-1]) if len(causes) > 1 else None
-        return status, {"error": "ingestion_failed", "detail": str(e), "inner": inner}
+        return status, {"error": "Ingestion failed", "detail": str(e), "inner": inner}
 
 
 class Scheduler:
