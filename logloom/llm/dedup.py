@@ -32,7 +32,7 @@ from logloom.functions.storage import materialize, spread
 WORDS_FIELD = "msg"
 
 _FIELD = re.compile(r"""(?<!\w)["'“„«]?([^\W\d]\w*)["'”“»]?\s*[=:]\s*(?:"((?:[^"\\]|\\.)*)"|'([^']*)'|<([^<>]*)>|([^\s,;|()\[\]{}"'<>]+))""")
-_CODE = re.compile(r"(?<!\w)[+-](?=\d)[\w]+(?:[.,:/+-]\w+)*|\w+(?:[.,:/+-]\w+)*")
+_CODE = re.compile(r"(?<!\w)[+-](?=\d)\w+(?:[.+-]\w+)*|\w+(?:[.+-]\w+)*")  # signs, points and hyphens are inside
 _IDEOGRAPH = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]|[^\W぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 _EDGES = " \t\r\n\xa0.,;:!?…*\"'“”„«»()[]{}<>|"
 _JSON = json.JSONDecoder(strict=False, parse_float=str, parse_int=str, parse_constant=str)

@@ -33,6 +33,7 @@ def test_odd_messages():
     assert dedup.record_tuple("") == dedup.record_tuple(" .,! ")
     assert dedup.record_tuple("{broken") == dedup.record_tuple("broken")
     assert dedup.record_tuple("重支，统") == dedup.record_tuple("重支 统")
+    assert dedup.record_tuple("after 9.5,seconds") == dedup.record_tuple("After 9.5 seconds")
     assert dedup.record_tuple("a=1 a=1 x") == dedup.record_tuple("x a=1")
     assert dedup.record_tuple("word " * 200_000 + "k=v") == dedup.record_tuple("k: v " + "Word, " * 200_000)
     assert dedup.record_tuple('{"msg": null, "a": {"y": 1, "x": 2}}') == dedup.record_tuple('{"a": {"x": 2, "y": 1}, "msg": null}')
