@@ -20,17 +20,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
-    The files outlive every executor, so a lost one costs a task and no lineage is run again.
+    The files outlive every executor, so a lost one costs a task and no lineage is run again. They stay until
+    release(), as frames that read them are lazy.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes what this driver has materialized so far; call it when no frame that reads it is used any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in (gone := _written[:]):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _written.remove(path)
+    return len(gone)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a plain scan, in at least as many partitions as there are cores, before work that outweighs moving it.
 
