@@ -1,16 +1,17 @@
 import os
+import uuid
 
 from logloom.functions import storage
 
 
 def test_materialize_and_release(spark):
-    df = storage.materialize(spark.range(5), "x")
+    name = uuid.uuid4().hex  # the folder may hold what other runs left
+    df = storage.materialize(spark.range(5), name)
     folder = storage.shared_dir(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == folder and df.count() == 5
-    made = [p for p in os.listdir(folder.removeprefix("file://")) if p.startswith("x-")]
-    assert made and storage.release(spark) >= 1
-    assert not [p for p in os.listdir(folder.removeprefix("file://")) if p in made]
-    assert storage.materialize(spark.range(0), "x").count() == 0
+    made = lambda: [p for p in os.listdir(folder.removeprefix("file://")) if p.startswith(name)]
+    assert spark.conf.get("spark.checkpoint.dir") == folder and df.count() == 5 and len(made()) == 1
+    assert storage.materialize(spark.range(0), name).count() == 0 and len(made()) == 2
+    assert storage.release(spark) >= 2 and not made()
 
 
 def test_spread(spark, tmp_path):
