@@ -3,6 +3,8 @@
 An inverted file: coarse centroids (spherical k-means on a bounded sample) give each vector a list, and its residual is
 product-quantised. Every vector is also a query and visits the lists of its nearest centroids; there a table of
 inner products with the codewords ranks the codes (asymmetric distances), and the best are reranked by exact cosines.
+How many lists that is, is measured: the exact nearest of some vectors among all are looked up, and so many lists are
+visited that RECALL of them are met, all lists if it must be.
 
 Lists and the queries that visit them are cut into blocks of bounded size, so a list that holds a third of all
 vectors becomes a grid of tasks. The copies of a vector are each other's nearest, found by its hash alone. Of a vector
@@ -33,8 +35,10 @@ from logloom.functions.storage import materialize, spread
 #: The bounded sample that the index is fitted on: so many vectors, more only with the number of lists.
 SAMPLE, SAMPLE_A_LIST, SAMPLE_AT_MOST = 20_000, 16, 262_144
 LISTS_AT_MOST = SAMPLE_AT_MOST // SAMPLE_A_LIST
-#: Lists that a query visits: this many, more if they are short, to meet about SCAN vectors.
-PROBES, SCAN = 2, 512
+#: Lists that a query visits at least: this many, more if they are short, to meet about SCAN vectors.
+PROBES, SCAN = 4, 1024
+#: More are visited until this share of the exact nearest of MEASURED vectors lies in them.
+RECALL, MEASURED = 0.97, 256
 PARTS, CODES = 16, 256
 #: Codes reranked exactly for each query and block.
 RERANK = 64
@@ -160,7 +164,57 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def fit(vectors: DataFrame, n: int) -> Index | None:
+_EXACT = "query int, point bigint, cosine float, list int"
+
+
+def _exact(shared, k: int):
+    """The k nearest in a split of each measured vector, without its copies, and the lists they are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, sames, q = shared.value
+        rows_of = {s: np.flatnonzero([s == t for t in sames]) for s in sames}
+        points, cosines = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf, np.float32)
+        units = np.zeros((len(q), k, q.shape[1]), np.float32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, same, x = batch.column(0).to_numpy(), batch.column(1).to_pylist(), _matrix(batch.column(2))
+            for a in range(0, len(ids), 4096):
+                part = x[a : a + 4096]
+                scores = q @ part.T
+                for c, s in enumerate(same[a : a + 4096]):
+                    if s in rows_of:
+                        scores[rows_of[s], c] = -np.inf
+                keep = min(k, len(part))
+                top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                both = np.concatenate([cosines, np.take_along_axis(scores, top, axis=1)], axis=1)
+                order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                cosines = np.take_along_axis(both, order, axis=1)
+                points = np.take_along_axis(np.concatenate([points, ids[a : a + 4096][top]], axis=1), order, axis=1)
+                units = np.take_along_axis(np.concatenate([units, part[top]], axis=1), order[:, :, None], axis=1)
+        ok = np.isfinite(cosines)
+        lists, _ = nearest(units[ok], centroids, True)
+        columns = [pa.array(np.nonzero(ok)[0].astype(np.int32)), pa.array(points[ok]), pa.array(cosines[ok]), pa.array(lists.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["query", "point", "cosine", "list"])
+
+    return run
+
+
+def probes_for(vectors: DataFrame, index: Index, sames: list[bytes], queries: np.ndarray, k: int) -> int:
+    """How many lists the given vectors must visit to meet RECALL of their exact k nearest among all vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast((index.centroids, sames, queries))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "point"))
+    split = vectors.select("point", "same", "unit").mapInArrow(_exact(shared, k), _EXACT).distinct()
+    found = split.withColumn("r", rank).filter(F.col("r") <= k).select("query", "list").toPandas()  # k rows a measured vector
+    if found.empty:
+        return 1
+    scores = queries @ index.centroids.T
+    own = scores[found["query"].to_numpy(), found["list"].to_numpy()]
+    ranks = np.sort((scores[found["query"].to_numpy()] > own[:, None]).sum(axis=1))
+    return int(ranks[math.ceil(RECALL * len(ranks)) - 1]) + 1
+
+
+def fit(vectors: DataFrame, n: int, k: int) -> Index | None:
     """Fits on a sample of at most SAMPLE_AT_MOST of ``n`` vectors, those of smallest hash."""
     if n == 0:
         return None
@@ -168,8 +222,13 @@ def fit(vectors: DataFrame, n: int) -> Index | None:
     probes = min(lists, max(PROBES, math.ceil(SCAN * lists / n)))
     size = min(SAMPLE_AT_MOST, max(SAMPLE, SAMPLE_A_LIST * lists))
     most = (1 << 63) - 1 if 1.2 * size >= n else -(1 << 63) + (1 << 64) * 12 * size // (10 * n)  # so that few are sorted
-    sample = vectors.withColumn("h", F.xxhash64("same")).filter(F.col("h") <= most).orderBy("h", "point").limit(size).select("unit").toArrow()
-    return Index(_matrix(sample.column(0).combine_chunks()), lists, probes)
+    sample = vectors.withColumn("h", F.xxhash64("same")).filter(F.col("h") <= most).orderBy("h", "point").limit(size).select("same", "unit").toArrow()
+    units = _matrix(sample.column(1).combine_chunks())
+    index = Index(units, lists, probes)
+    if probes < lists:  # other vectors than those the centroids began with
+        some = np.random.default_rng(SEED + 1).choice(len(units), min(MEASURED, len(units)), replace=False)
+        index.probes = max(probes, probes_for(vectors, index, sample.column(0).take(pa.array(some)).to_pylist(), units[some], k))
+    return index
 
 
 _ASSIGNED = "point bigint, unit binary, visits array<int>, code binary"
@@ -221,7 +280,7 @@ def _search(index, k: int):
 def nearest_of_all(vectors: DataFrame, n: int, k: int) -> DataFrame:
     """point, other, cosine of about the k nearest of each vector. ``vectors``: point, same, unit, about ``n`` rows."""
     spark = vectors.sparkSession
-    fitted = fit(vectors, n)
+    fitted = fit(vectors, n, k)
     if fitted is None:
         return spark.createDataFrame([], _NEAR)
     index = spark.sparkContext.broadcast(fitted)  # at most LISTS_AT_MOST centroids and the codebooks

@@ -42,6 +42,16 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert sum(len(got[i] & w) for i, (w, _) in want.items()) / (5 * len(want)) >= 0.9
 
 
+def test_recall_where_neighbours_lie_in_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(nb, "PROBES", 2)
+    monkeypatch.setattr(nb, "SCAN", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 12)) @ rng.normal(size=(12, 32))
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
+    want, got = brute(rows, 5, 32), found(spark.createDataFrame(rows, SCHEMA), 5, 32)
+    assert sum(len(got[i] & w) for i, (w, _) in want.items()) / (5 * len(want)) >= 0.9
+
+
 def test_odd_vectors_copies_and_ties(spark):
     x = clustered(60, 8, 1)
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
