@@ -7,9 +7,11 @@ for each class, by expectation maximisation over the patterns of votes; one clas
 sentences about none, such as passing mentions. Sentences get the class of highest posterior probability, and a document
 the subjects that at least a quarter of its sentences have.
 
-The functions are fitted on a bounded sample: at most FIT_LABELLED labelled and FIT_OTHERS other documents, those of
-smallest hash, so that the same tables give the same model; everything else reads all documents. A label only narrows
-the classes that a document's sentences may have at first, since labels can be wrong or missing.
+The functions are fitted on at most FIT_LABELLED labelled documents, those of smallest hash, and on all other
+documents without theirs: their words, openings, endings, addresses and sources by class and their patterns of votes are summed
+up by tasks, TURNS times, from beliefs that are rounded so that the same tables give the same model in whatever order
+they are summed. A label only narrows the classes that a document's sentences may have at first, since labels can be
+wrong or missing.
 
 Defined results: null, empty and blank texts and those without id have no subject, nor have texts whose sentences the functions say nothing
 of. Repeated documents get the same subjects. Very long texts are read whole. Labels with null document or subject, of
@@ -31,13 +33,15 @@ from pyspark.sql import functions as F
 
 from logloom.functions.storage import spread
 
-#: Most labelled and other documents that the functions are fitted on, and most characters of each of them.
-FIT_LABELLED, FIT_OTHERS, FIT_CHARS = 4000, 2000, 10_000
+#: Most labelled documents that the functions are fitted on; of others all are.
+FIT_LABELLED = 4000
 #: Share of the sentences that makes a subject one of the document's.
 SHARE = 0.25
 #: Belief that a sentence of a labelled document is about one of its labels.
 TRUST = 0.97
-ROUNDS = 8
+ROUNDS = 12
+#: Passes over the other documents, and rounds for the shares of each of them in a pass.
+TURNS, OWN_ROUNDS = 2, 4
 #: Added to each word's count in each class.
 SMOOTH = 0.02
 #: Sentences whose class a worker remembers.
@@ -150,8 +154,93 @@ class Model:
         return found
 
 
-def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subjects: list[str]) -> Model | None:
-    """The model of a sample. docs: doc_id, text, service, source; None without labels."""
+class Others:
+    """What all documents but the labelled ones given add to the sums that the model is fitted on, by distributed aggregation."""
+
+    def __init__(self, docs: DataFrame, n: int):
+        self.docs, self.n = spread(docs.select("doc_id", "text", "service_name", "source")), n
+        self.sums = [f"c{k}" for k in range(n)]
+
+    def expect(self, index: dict[str, int], logs: np.ndarray, class_share: np.ndarray) -> pd.DataFrame:
+        """kind, name, sums by class: of kind 0 words of at least two sentences, of 1 to 4 values of the other functions, of 5 all."""
+        n, shared = self.n, self.docs.sparkSession.sparkContext.broadcast((index, logs, class_share))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield _expected(batch, *shared.value)
+
+        columns = ", ".join(f"{c} double" for c in self.sums)
+        found = self.docs.mapInPandas(run, f"kind int, name string, used bigint, {columns}")
+        total = found.groupBy("kind", "name").agg(F.sum("used").alias("used"), *(F.sum(c).alias(c) for c in self.sums))
+        return total.filter("kind > 0 or used >= 2").drop("used").orderBy("kind", "name").toPandas()
+
+    def patterns(self, model: Model) -> Counter:
+        """How many sentences have each pattern of votes."""
+        shared = self.docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = shared.value
+            for batch in batches:
+                counts: Counter = Counter()
+                for _, text, service, source in batch.itertuples(index=False):
+                    counts.update((a, masked(s), service or "", source or "") for a, s in sentences(text))
+                votes: Counter = Counter()
+                for item, k in counts.items():
+                    votes[own.votes(item)] += k
+                yield pd.DataFrame([(list(v), k) for v, k in votes.items()], columns=["votes", "n"])
+
+        found = self.docs.mapInPandas(run, "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))
+        return Counter({(tuple(r["votes"]), None): r["n"] for r in found.orderBy("votes").collect()})
+
+
+def _expected(batch: pd.DataFrame, index: dict[str, int], logs: np.ndarray, class_share: np.ndarray) -> pd.DataFrame:
+    """The sums of some documents, each with its own shares of the classes."""
+    n = logs.shape[1]
+    place: dict[str, int] = {}
+    at, doc, codes, values = [], [], [{} for _ in range(4)], [[] for _ in range(4)]
+    for number, (_, text, service, source) in enumerate(batch.itertuples(index=False)):
+        for address, sentence in sentences(text):
+            item = address, masked(sentence), service or "", source or ""
+            at.append(place.setdefault(item[1], len(place)))
+            doc.append(number)
+            for k, v in enumerate(values_of(item)):
+                values[k].append(codes[k].setdefault(v, len(codes[k])))
+    names = ["kind", "name", "used", *(f"c{k}" for k in range(n))]
+    if not at:
+        return pd.DataFrame(columns=names)
+    at, doc = np.array(at), np.array(doc)
+    words = [features(x)[0] for x in place]
+    known = [[index[w] for w in x if w in index] for x in words]
+    of = np.repeat(np.arange(len(place)), [len(x) for x in known])
+    scores = _sums(of, logs, np.array([w for x in known for w in x], np.int64), len(place))
+    own = np.full((len(batch), n), 1.0 / n)
+    for _ in range(OWN_ROUNDS):
+        p = _normalised(scores[at] + np.log(own[doc]))
+        own = _sums(doc, p, np.arange(len(at)), len(batch)) + class_share
+        own /= own.sum(axis=1, keepdims=True)
+    p = np.rint(p * (1 << 20)) / (1 << 20)  # sums of these are exact
+    rows = np.arange(len(at))
+    by_sentence, often = _sums(at, p, rows, len(place)), np.bincount(at, minlength=len(place))
+    heard: dict[str, int] = {}
+    word = np.array([heard.setdefault(w, len(heard)) for x in words for w in x], np.int64)
+    of = np.repeat(np.arange(len(place)), [len(x) for x in words])
+    pairs = np.unique(np.stack([of, word], axis=1), axis=0)
+    tables = [(0, heard, np.bincount(pairs[:, 1], often[pairs[:, 0]], minlength=len(heard)), _sums(word, by_sentence, of, len(heard)))]
+    for k in range(4):
+        tables.append((k + 1, codes[k], np.zeros(len(codes[k])), _sums(np.array(values[k]), p, rows, len(codes[k]))))
+    tables.append((5, {"": 0}, np.zeros(1), p.sum(axis=0, keepdims=True)))
+    parts = []
+    for kind, entries, used, sums in tables:
+        part = pd.DataFrame(sums, columns=names[3:])
+        part.insert(0, "used", used.astype(np.int64))
+        part.insert(0, "name", list(entries))
+        part.insert(0, "kind", kind)
+        parts.append(part)
+    return pd.concat(parts, ignore_index=True)
+
+
+def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subjects: list[str], others: Others | None = None) -> Model | None:
+    """The model of given documents and others. docs: doc_id, text, service, source; None without labels."""
     model = Model(sorted(subjects))
     n = model.classes
     place = {s: k for k, s in enumerate(model.subjects)}
@@ -160,7 +249,7 @@ def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subj
     of: list[int] = []
     for number, (doc_id, text, service, source) in enumerate(docs):
         own = frozenset(place[s] for s in labels.get(doc_id, ()) if s in place) or None
-        for address, sentence in sentences(text[:FIT_CHARS] if text else text):
+        for address, sentence in sentences(text):
             items.append((address, masked(sentence), service or "", source or ""))
             allowed.append(own)
             of.append(number)
@@ -197,13 +286,38 @@ def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subj
         own_share = _sums(doc, p, np.arange(len(items)), len(docs)) + class_share
         own_share /= own_share.sum(axis=1, keepdims=True)
     logs = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(names)))
+    added: list[dict[str, np.ndarray]] = [{} for _ in range(4)]
+    for _ in range(TURNS if others else 0):
+        found = others.expect(index, logs, class_share)
+        sums = {k: dict(zip(part["name"], part[others.sums].to_numpy())) for k, part in found.groupby("kind")}
+        if not sums:
+            break
+        heard, added = sums.get(0, {}), [sums.get(k + 1, {}) for k in range(4)]
+        for w in heard:
+            index.setdefault(w, len(index))
+        known = [[index[w] for w in x if w in index] for x in words]
+        at = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in known])
+        word = np.array([w for x in known for w in x], np.int32)
+        counts = _sums(word, p, at, len(index))
+        for w, x in heard.items():
+            counts[index[w]] += x
+        both = p.sum(axis=0) + sums[5][""]
+        class_share = (both + 1) / (both.sum() + n)
+        logs = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(index)))
+        p = _normalised(hint + np.log(own_share[doc]) + _sums(at, logs, word, len(items)))
+        own_share = _sums(doc, p, np.arange(len(items)), len(docs)) + class_share
+        own_share /= own_share.sum(axis=1, keepdims=True)
     model.lexicon = {w: logs[k] - logs[k].mean() for w, k in index.items()}
     model.prior = np.log(class_share)
     # The other functions: what the lexicon says of the sentences with the same value, where it is of one mind.
     for k in range(4):
         codes: dict[str, int] = {}
         values = np.array([codes.setdefault(values_of(i)[k], len(codes)) for i in items])
+        for v in added[k]:
+            codes.setdefault(v, len(codes))
         sums = _sums(values, p, np.arange(len(items)), len(codes))
+        for v, x in added[k].items():
+            sums[codes[v]] += x
         total, most = sums.sum(axis=1), sums.max(axis=1)
         sure = (total >= 3) & (most > (0.8 if k < 2 else 0.3) * total)
         model.tables.append({v: int(sums[c].argmax()) for v, c in codes.items() if v and sure[c]})
@@ -213,6 +327,9 @@ def fit(docs: list[tuple[int, str, str, str]], labels: dict[int, set[str]], subj
         if i not in said:
             said[i] = model.votes(i)
     patterns: Counter = Counter((said[i], a) for i, a in zip(items, allowed))
+    if others:
+        model._lexicon_votes.clear()
+        patterns.update(others.patterns(model))
     votes = np.array([v for v, _ in patterns])
     weight = np.array(list(patterns.values()), float)
     hints = np.array([_hint(a, n) for _, a in patterns])
@@ -253,22 +370,25 @@ def subject_shares(model: Model, text: str | None, service: str | None, source:
 
 def _sample(docs: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` documents of smallest hash."""
-    return docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"), "service_name", "source").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", "text", "service_name", "source").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None:
-    """Fits on the bounded sample, on the driver."""
+    """Fits on a bounded sample of labelled documents on the driver, and on the sums of all others."""
     names = [r["subject"] for r in subjects.filter("subject is not null").select("subject").distinct().collect()]
     usable = labels.filter("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
     real = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = usable.select("doc_id").distinct()
     labelled = _sample(real.join(ids, "doc_id", "left_semi"), FIT_LABELLED).toPandas()
-    others = _sample(real.join(ids, "doc_id", "left_anti"), FIT_OTHERS).toPandas()
+    if labelled.empty or not names:
+        return None
+    fitted = docs.sparkSession.createDataFrame([(int(d),) for d in labelled["doc_id"].unique()], "doc_id bigint")
+    others = Others(real.join(F.broadcast(fitted), "doc_id", "left_anti"), len(names) + 1)  # labelled ones past the bound too
     own: dict[int, set[str]] = defaultdict(set)
     for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(FIT_LABELLED * max(len(names), 1)).collect():
         own[r["doc_id"]].add(r["subject"])
-    rows = [tuple(r) for part in (labelled, others) for r in part.astype(object).where(part.notna(), None).itertuples(index=False)]
-    return fit(rows, own, names)
+    rows = [tuple(r) for r in labelled.astype(object).where(labelled.notna(), None).itertuples(index=False)]
+    return fit(rows, own, names, others)
 
 
 _SHARES = "doc_id bigint, subject string, n_sentences bigint, n_all bigint"
@@ -279,7 +399,7 @@ def sentence_subjects(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     if model is None:
         return spark.createDataFrame([], _SHARES)
-    shared = spark.sparkContext.broadcast(model)  # grows with the vocabulary of the bounded sample only
+    shared = spark.sparkContext.broadcast(model)  # grows with the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value

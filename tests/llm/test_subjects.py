@@ -57,3 +57,17 @@ def test_operator(spark):
     assert sum(got.get(k, set()) == truth[k] for k in range(120)) > 105
     assert s.document_subjects(df, lab.limit(0), subs).count() == 0
     assert s.document_subjects(df.limit(0), lab, subs).count() == 0
+
+
+def test_every_document_without_labels_teaches(spark):
+    """Words that only few of many documents without labels have, next to known ones, and labels of what comes late in a text."""
+    docs, truth = corpus(60, 9)
+    plain = [(10_000 + k, f"see note {k} for the earlier case. thanks to everyone who helped {k}.", "svc", "src") for k in range(4000)]
+    rare = [(100_000 + k, "the violin section zimbelwerk ostinato. the choir sang zimbelwerk ostinato.", "svc", "src") for k in range(6)]
+    late = (200_000, "see note 12 for the earlier case. " * 600 + "the goal keeper quaddlepitch scored. " * 900, "svc", "src")
+    rows = docs + plain + rare + [late, (300_000, "zimbelwerk ostinato", "svc", "src"), (300_001, "quaddlepitch", "svc", "src")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, service_name string, source string")
+    lab = spark.createDataFrame([(k, w) for k in range(40) for w in sorted(truth[k])] + [(200_000, "sport")], "doc_id bigint, subject string")
+    subs = spark.createDataFrame([(w,) for w in sorted(WORDS)], "subject string")
+    got = {(r["doc_id"], r["subject"]) for r in s.document_subjects(df, lab, subs).filter("doc_id >= 300000").collect()}
+    assert got == {(300_000, "music"), (300_001, "sport")}
