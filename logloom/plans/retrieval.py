@@ -262,9 +262,9 @@ def ingest_counts(spark, sf):
 # ---- sessions: threads of documents
 
 
-def _messages(spark, sf):
+def _messages(spark, sf, content="text"):
     docs = _read(spark, sf, "documents").filter(F.col("thread_key").isNotNull())
-    return docs.select(F.col("thread_key").alias("session_id"), F.col("doc_id").alias("seq"), F.coalesce("source", F.lit("user")).alias("role"), F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("content"))
+    return docs.select(F.col("thread_key").alias("session_id"), F.col("doc_id").alias("seq"), F.coalesce("source", F.lit("user")).alias("role"), F.coalesce(content, F.lit("")).alias("content"))
 
 
 def session_history(spark, sf):
@@ -272,6 +272,11 @@ def session_history(spark, sf):
 
 
 def prompt_history(spark, sf):
+    """As its SQL has it: the first 40 characters of each message; prompt_history_whole has all."""
+    return chat.prompt_history(_messages(spark, sf, F.substring("text", 1, 40)), 8)
+
+
+def prompt_history_whole(spark, sf):
     return chat.prompt_history(_messages(spark, sf), 8)
 
 
@@ -296,7 +301,7 @@ _ALL = (
     vector_topk, vector_topk_filtered, retrieve_dedup_rerank, retrieve_chunks, hybrid_rank, embed_documents, metadata_filter, severity_filter_unfolded,
     time_range, noise_filter, event_start, lexical_overlap, severity_fold, timestamp_text, event_hash, point_id, chunk_documents, csv_parse, json_parse,
     kv_parse, ts_prefix_parse, regex_rule_parse, payload_residual, normalize_lines, parse_raw_logs, ingest_raw_logs, chunk_log_entries, retention,
-    upsert_latest, dedup_exact, ingest_counts, session_history, prompt_history, context_build, citations,
+    upsert_latest, dedup_exact, ingest_counts, session_history, prompt_history, prompt_history_whole, context_build, citations,
 )
 
 
@@ -385,6 +390,10 @@ def oracle_sql() -> dict[str, str]:
             WITH m AS (SELECT thread_key AS session_id, doc_id, '[' || upper(coalesce(source, 'user')) || '] ' || coalesce(substring(text, 1, 40), '') AS line FROM documents
               WHERE thread_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY thread_key ORDER BY doc_id DESC) <= 8)
             SELECT session_id, trim(string_agg(line, chr(10) ORDER BY doc_id), ' ') AS history FROM m GROUP BY session_id""",
+        "prompt_history_whole": """
+            WITH m AS (SELECT thread_key AS session_id, doc_id, '[' || upper(coalesce(source, 'user')) || '] ' || coalesce(text, '') AS line FROM documents
+              WHERE thread_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY thread_key ORDER BY doc_id DESC) <= 8)
+            SELECT session_id, trim(string_agg(line, chr(10) ORDER BY doc_id), ' ') AS history FROM m GROUP BY session_id""",
         "context_build": f"""{retrieved}
             SELECT string_agg('[' || rank || '] ts=' || {iso} || ' severity=' || severity || ' service=' || service_name || ' trace=' || trace_id || ' source=' || source_id || '/' || source_type || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY rank) AS context FROM ranked""",
         "citations": f"{retrieved} SELECT rank AS id, {iso} AS timestamp, severity, service_name, trace_id, source_id FROM ranked",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logloom.config import ChatOptions, SearchOptions
 from logloom.operators import chat, embed, search
 from logloom.operators.search import QueryFilter
+from logloom.plans import retrieval
 
 AT = datetime(2026, 5, 19, 18, tzinfo=timezone.utc)
 
@@ -113,3 +114,13 @@ def test_embedding(spark):
 def test_defaults(spark):
     df = spark.createDataFrame([(None, None, None)], "severity string, service_name string, timestamp_utc timestamp")
     assert search.with_defaults(df, F.lit(AT)).first()[:2] == ("INFO", "unknown")
+
+
+def test_whole_messages_in_the_history(spark, sf):
+    queries = retrieval.queries()
+    threads = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("thread_key is not null").select("thread_key", "doc_id", "source", "text").collect():
+        threads.setdefault(r["thread_key"], []).append((r["doc_id"], f"[{(r['source'] or 'user').upper()}] {r['text'] or ''}"))
+    want = {t: "\n".join(x for _, x in sorted(lines)[-8:]).strip(" ") for t, lines in threads.items()}
+    got = {r["session_id"]: r["history"] for r in queries["prompt_history_whole"](spark, sf).collect()}
+    assert got == want and max(map(len, got.values())) > 8 * 60
