@@ -3,7 +3,9 @@
 Every line's head is tokenised and its variables masked (``<ts>``, ``<lvl>``, ``<num>``, ``<word>``). A template
 tree of fixed depth routes it by the number of its head tokens and the leading tokens to a leaf; similar templates of a
 leaf are merged, and the positions of a template are mapped to fields once, when it is made. A line whose template
-has fields begins an entry, any other continues the one before it in its file.
+has fields begins an entry, any other continues the one before it in its file. The positions are read off the masks,
+by listed layouts or else by where time, level and names stand, so that the same line has the same fields whatever a
+worker has merged before.
 
 Entries are put together without a task per file: files are cut into stretches of bytes, the last entry begun in
 each stretch is carried to the next by a running maximum over the stretches, and each entry is gathered by its own
@@ -147,7 +149,52 @@ def map_positions(tokens: tuple[str, ...]) -> tuple[str | None, dict[str, int]]:
             places = {f: starts.get(m.start(f)) for f in m.groupdict() if m.group(f) is not None}
             if all(p is not None for p in places.values()):
                 return name, places
-    return None, {}
+    return _unlisted(tokens)
+
+
+_AROUND = (" ", "[", "]", "(", ")", "|", ",", ":", "-")
+
+
+def _name_end(tokens: tuple[str, ...], k: int, listed: bool) -> int:
+    """Where the name at k ends with what closes it (brackets, a colon, a bar, a dash); 0 if nothing does."""
+    end = k + 1
+    if tokens[k - 1] in ("[", "("):
+        return end + 1 if tokens[end : end + 1] in (("]",), (")",)) else 0
+    if tokens[end : end + 1] == ("[",) and tokens[end + 1 : end + 3] in (("<num>", "]"), ("<word>", "]")):
+        end += 3
+    if tokens[end : end + 1] == (":",) and tokens[end + 1 : end + 2] in ((" ",), ()):
+        return end + 1
+    if tokens[end : end + 1] == ("|",) or listed and tokens[end : end + 1] == (",",):
+        return end + 1
+    return end + 2 if tokens[end : end + 2] in ((" ", "-"), (" ", "|")) else 0
+
+
+def _unlisted(tokens: tuple[str, ...]) -> tuple[str | None, dict[str, int]]:
+    """Positions in a head of no listed layout that begins with a time, at most after a level: level and component if
+    there are any, the rest is the message."""
+    at = tokens.index("<ts>") if "<ts>" in tokens else len(tokens)
+    if at + 1 >= len(tokens) or tokens[0] not in ("<ts>", "<lvl>", "[", "(") or any(t != "<lvl>" and t not in _AROUND for t in tokens[:at]):
+        return None, {}
+    places = {"ts": at} | ({"severity": tokens.index("<lvl>")} if "<lvl>" in tokens[:at] else {})
+    k, named, listed = at + 1, False, tokens[at + 1] == ","
+    while k < len(tokens):
+        if tokens[k] in (_AROUND if not named else (" ", "-", "|", ",")):
+            k += 1
+        elif tokens[k] == "<lvl>" and "severity" not in places:
+            places["severity"] = k
+            k += 1
+            while tokens[k : k + 1] in (("]",), (":",), (")",)):
+                k += 1
+        elif not named and tokens[k] in ("<word>", "<num>") and (end := _name_end(tokens, k, listed)):
+            if tokens[k] == "<word>":
+                places["component"] = k
+                named = tokens[k - 1] not in ("[", "(")
+            k = end
+        else:
+            break
+    if k == len(tokens) and len(places) == 1:
+        return None, {}
+    return "unlisted", places | {"message": k}
 
 
 class TemplateTree:

@@ -69,3 +69,23 @@ def test_similar_templates_merge():
     one = tree.find(("<ts>", " ", "<word>", "x", "a"))
     two = tree.find(("<ts>", " ", "<word>", "x", "b"))
     assert one is two and one.tokens[-1] == "<*>" and one.count == 2
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("2025-10-01 10:00:00 INFO app: message", ("2025-10-01 10:00:00", "INFO", "app", "message")),
+        ("2025-10-01 10:00:00,123 - pay.core - WARNING - [3] slow: 5", ("2025-10-01 10:00:00,123", "WARNING", "pay.core", "[3] slow: 5")),
+        ("2025-10-01T10:00:00Z ERROR [main] a.b.Pay - lost\n  at X", ("2025-10-01T10:00:00Z", "ERROR", "a.b.Pay", "lost\n  at X")),
+        ("[2025-10-01 10:00:00] [error] disk full", ("2025-10-01 10:00:00", "ERROR", None, "disk full")),
+        ("ERROR 2025-10-01 10:00:00 disk full", ("2025-10-01 10:00:00", "ERROR", None, "disk full")),
+        ("2025-10-01 10:00:00 started", ("2025-10-01 10:00:00", "INFO", None, "started")),
+    ],
+)
+def test_unlisted_layouts_are_entries(text, want):
+    assert L.parse_entry(text) == want
+
+
+@pytest.mark.parametrize("line", ["2025-10-01 10:00:00", "# 2025-10-01 10:00:00 log opened", "since 2025-10-01 10:00:00 down", "--- 2025-10-01 10:00:00 ---", "3 at 2025-10-01 10:00:00 INFO x"])
+def test_lines_with_times_that_continue(line):
+    assert L.head(line)[0] is None
