@@ -61,8 +61,9 @@ _TOKEN = re.compile(
     r"|(?P<num>\d+\b(?![.\w-]))|(?P<word>@?\w+(?:[.\-/]\w+)*)|(?P<gap>[ \t]+)|(?P<mark>.)"
 )
 _COLOUR = re.compile(r"\x1b\[[\d;]*m")
-_PAIR = re.compile(r'([@\w.\-]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)')
-_ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(\"[^\"]*\"|'[^']*')")
+# Names begin where no other name could have begun and are never tried shorter, so that long lines take no longer a byte.
+_PAIR = re.compile(r'(?<![@\w.\-])([@\w.\-]++)=("(?:[^"\\]|\\.)*"|[^\s"]*)')
+_ATTRIBUTE = re.compile(r"(?<![\w.:-])([\w.:-]++)\s*+=\s*(\"[^\"]*\"|'[^']*')")
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", '"': '"', "'": "'", "\\": "\\", "/": "/"}
 
 Token = tuple[str, int, int]
@@ -229,6 +230,19 @@ def clean(line: str) -> str:
     return _COLOUR.sub("", line).removeprefix("\ufeff") if "\x1b" in line or "\ufeff" in line else line
 
 
+def _has_fields(line: str) -> bool:
+    """Whether pairs name two fields, of which one is the time or the first name is one; reads no further than it must."""
+    roles, first = set(), None
+    for m in _PAIR.finditer(line):
+        role = ROLE.get(m[1].lower())
+        first = role is not None if first is None else first
+        if role is not None:
+            roles.add(role)
+            if len(roles) > 1 and (first or "ts" in roles):
+                return True
+    return False
+
+
 def head(line: str) -> tuple[str | None, dict[str, int], list[Token]]:
     """Layout (None: the line continues an entry), positions of fields, tokens."""
     line = line.rstrip("\r")
@@ -238,10 +252,9 @@ def head(line: str) -> tuple[str | None, dict[str, int], list[Token]]:
     template = template_of(tuple(t[0] for t in tokens))
     layout = template.layout
     if layout == "pairs":
-        names = [k.lower() for k, _ in _PAIR.findall(line[:4096])]
-        if len({ROLE[n] for n in names if n in ROLE}) < 2 or names[0] not in ROLE and not any(ROLE.get(n) == "ts" for n in names):
+        if not _has_fields(line):
             layout = None
-    elif layout == "markup" and not any(ROLE.get(k.lower()) == "ts" for k, _ in _ATTRIBUTE.findall(line[:4096])):
+    elif layout == "markup" and not any(ROLE.get(m[1].lower()) == "ts" for m in _ATTRIBUTE.finditer(line)):
         layout = None
     return layout, template.fields, tokens
 

@@ -89,3 +89,10 @@ def test_unlisted_layouts_are_entries(text, want):
 @pytest.mark.parametrize("line", ["2025-10-01 10:00:00", "# 2025-10-01 10:00:00 log opened", "since 2025-10-01 10:00:00 down", "--- 2025-10-01 10:00:00 ---", "3 at 2025-10-01 10:00:00 INFO x"])
 def test_lines_with_times_that_continue(line):
     assert L.head(line)[0] is None
+
+
+def test_names_after_a_long_value():
+    long = "x" * 5000
+    assert L.parse_entry(f'text="{long}" ts=T level=warn') == ("T", "WARNING", None, long)
+    assert L.parse_entry(f'<entry note="{long}" ts="T" lvl="ERROR">m</entry>') == ("T", "ERROR", None, "m")
+    assert L.head(f"a={long} b={'y' * 500_000} {'z' * 500_000}")[0] is None
