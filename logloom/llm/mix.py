@@ -9,7 +9,8 @@ spread over hash buckets, the buckets' tokens are summed up in order, and each d
 Defined results: documents without id and of null or unlisted sources are never used, documents without tokens add nothing and are
 never used either. A listed source without documents has an actual share of 0, its share goes to the others. Without
 a given total, the total is the largest for which every source that has documents gets its share exactly (up to
-half a document); with a given total, shortages are shared out and reported. Targets with nulls
+half a document); with a given total, shortages are shared out and reported. The queries give the tokens of all listed
+documents as the total, so that one poor source doesn't cut the whole mix. Targets with nulls
 count for nothing. Empty tables give empty results.
 """
 
@@ -126,19 +127,24 @@ def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return sized(spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang", "text")), targets), targets
 
 
+def _all_tokens(docs: DataFrame) -> float:
+    """The tokens of all documents of listed sources: a total that no single poor source lowers."""
+    return float(docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"])
+
+
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents of the mix and how often each is used."""
-    return mix(*_tables(spark, sf))
+    """The documents of the mix of as many tokens as all listed sources have, and how often each is used."""
+    docs, targets = _tables(spark, sf)
+    return mix(docs, targets, _all_tokens(docs))
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Target and actual shares of the mix."""
+    """Target and actual shares of p9_mix, with the shortages."""
     docs, targets = _tables(spark, sf)
-    return shares(mix(docs, targets), targets)
+    return shares(mix(docs, targets, _all_tokens(docs)), targets)
 
 
 def p9_shares_all_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """The shares if the mix is to have as many tokens as all documents of its sources, whether or not that can be met."""
     docs, targets = _tables(spark, sf)
-    total = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
-    return shares(mix(docs, targets, float(total)), targets)
+    return shares(mix(docs, targets, _all_tokens(docs)), targets)

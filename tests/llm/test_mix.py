@@ -49,3 +49,13 @@ def test_sizes(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     got = {r["doc_id"]: (r["language"], r["n_tokens"]) for r in mix.sized(d, targets).collect()}
     assert got == {1: ("en", 2), 5: ("other", 1)}
+
+
+def test_a_poor_source_does_not_cut_the_mix(spark, tmp_path):
+    rows = [(k, "rich", "en", f"some words of document {k} about this and that") for k in range(200)] + [(999, "poor", "en", "just a few words")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("rich", 0.93, 2), ("poor", 0.07, 4)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r["source"]: r for r in mix.p9_shares(spark, str(tmp_path)).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mix.p9_mix(spark, str(tmp_path)).collect()}
+    assert copies[999] == 4 and len(copies) >= 195
+    assert got["poor"]["most_repeats"] == 4 and not got["poor"]["met"] and got["rich"]["tokens"] > 10 * got["poor"]["tokens"]
