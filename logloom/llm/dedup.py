@@ -1,21 +1,23 @@
 """Problem 2: records that differ in form only are collapsed, with the number of their copies.
 
 Every message is rewritten as its words in order and its set of named fields. Each distinct word and field value is
-canonicalised once (a dictionary in each worker) and stands for an integer from then on; the integer is a hash
-of the canonical text, so that all workers assign the same one without a shared dictionary. A record is the
-identifier of its words and the sorted identifiers of its field values; the tuples are packed to 16 bytes and
-grouped, summed before they are shuffled. Rows find their group again by a join that a group of a third of all rows
-doesn't slow down.
+canonicalised once (a dictionary in each worker) and stands for an integer from then on; the integer is 128 bits of a hash
+of the canonical text, so that all workers assign the same one without a shared dictionary, which would grow with the
+corpus. A record is the identifier of its words and the sorted identifiers of its field values; the tuples are packed to 16 bytes.
+A second digest, of the record's canonical text itself and not of its identifiers, goes with the tuple, and only rows
+with both alike are one group, so that two texts that should ever get one identifier stay apart. Groups are summed before they
+are shuffled. Rows find their group again by a join that a group of a third of all rows doesn't slow down.
 
 Defined results: null messages are no records and copies of nothing. Blank messages and messages of punctuation alone
-are one record (no words, no fields). Of repeated names in one message each distinct value counts once. A message that
-looks like JSON but isn't is plain text. Very long messages are read whole. Repeated rows are copies. Empty tables
+are one record (no words, no fields). Of repeated names in one message each distinct value counts once. In JSON blanks of
+any kind may stand between the tokens, as white space doesn't count; a message that looks like JSON but isn't is plain text. Very long messages are read whole. Repeated rows are copies. Empty tables
 give empty results.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ _CODE = re.compile(r"(?<!\w)[+-](?=\d)\w+(?:[.+-]\w+)*|\w+(?:[.+-]\w+)*")  # sig
 _IDEOGRAPH = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]|[^\W぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 _EDGES = " \t\r\n\xa0.,;:!?…*\"'“”„«»()[]{}<>|"
 _JSON = json.JSONDecoder(strict=False, parse_float=str, parse_int=str, parse_constant=str)
+#: A string of JSON, or blanks between its tokens that JSON itself doesn't know.
+_ODD_BLANK = re.compile(r'("(?:[^"\\]|\\.)*")|[^\S \t\r\n]+|[\u200b\u2060\ufeff]+', re.S)
 
 
 @functools.lru_cache(maxsize=1 << 18)
@@ -46,21 +50,31 @@ def canonical_words(token: str) -> tuple[str, ...]:
     return tuple(_IDEOGRAPH.findall(token))
 
 
+def canonical_field(name: str, value: str) -> str:
+    """A field with a value, without what is form only."""
+    return f"{name.lower()}\0{' '.join(value.strip(_EDGES).lower().split())}"
+
+
+def identifier(text: str) -> int:
+    """The integer that stands for a canonical text."""
+    return xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 @functools.lru_cache(maxsize=1 << 18)
-def field_id(name: str, value: str) -> int:
-    """The integer that stands for a field with a value in any form."""
-    name, value = name.lower(), " ".join(value.strip(_EDGES).lower().split())
-    return xxhash.xxh3_64_intdigest(f"{name}\0{value}".encode("utf-8", "surrogatepass"))
+def field_code(name: str, value: str) -> tuple[int, str]:
+    """The identifier of a field with a value in any form, and its canonical text."""
+    text = canonical_field(name, value)
+    return identifier(text), text
 
 
-def _plain(text: str, words: list[str], ids: set[int]) -> None:
+def _plain(text: str, words: list[str], fields: set[tuple[int, str]]) -> None:
     end = 0
     rest = []
     for m in _FIELD.finditer(text):
         value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] if m[4] is not None else m[5]
         if not value.strip(_EDGES):
             continue
-        ids.add(field_id(m[1], value))
+        fields.add(field_code(m[1], value))
         rest.append(text[end : m.start()])
         end = m.end()
     rest.append(text[end:])
@@ -68,31 +82,41 @@ def _plain(text: str, words: list[str], ids: set[int]) -> None:
         words.extend(canonical_words(token))
 
 
-def record_tuple(message: str) -> tuple[int, tuple[int, ...]]:
-    """The identifier of the words and the sorted identifiers of the field values."""
-    words: list[str] = []
-    ids: set[int] = set()
-    text = message.strip()
-    if text.startswith("{"):
+def _object(text: str) -> dict | None:
+    """A message that is one JSON object, with blanks of any kind between its tokens."""
+    for form in (lambda t: t, lambda t: _ODD_BLANK.sub(lambda m: m[1] or " ", t)):
         try:
-            found, end = _JSON.raw_decode(text)
+            found, end = _JSON.raw_decode(tried := form(text))
         except (ValueError, RecursionError):
-            found, end = None, 0
-        if isinstance(found, dict) and not text[end:].strip(_EDGES):
-            for name, value in found.items():
-                if name.lower() == WORDS_FIELD and isinstance(value, str):
-                    _plain(value, words, ids)
-                else:
-                    ids.add(field_id(name, value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)))
-            text = ""
-    if text:
-        _plain(text, words, ids)
-    return xxhash.xxh3_128_intdigest("\x1f".join(words).encode("utf-8", "surrogatepass")), tuple(sorted(ids))
-
-
-def _pack(record: tuple[int, tuple[int, ...]]) -> bytes:
-    words, ids = record
-    return xxhash.xxh3_128_digest(words.to_bytes(16) + b"".join(i.to_bytes(8) for i in ids))
+            continue
+        return found if isinstance(found, dict) and not tried[end:].strip(_EDGES) else None
+    return None
+
+
+def record_tuple(message: str) -> tuple[int, tuple[int, ...], str]:
+    """The identifier of the words, the sorted identifiers of the field values, and the canonical text of both."""
+    words: list[str] = []
+    fields: set[tuple[int, str]] = set()
+    text = message.strip()
+    found = _object(text) if text.startswith("{") else None
+    if found is None:
+        _plain(text, words, fields)
+    else:
+        for name, value in found.items():
+            if name.lower() == WORDS_FIELD and isinstance(value, str):
+                _plain(value, words, fields)
+            else:
+                fields.add(field_code(name, value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)))
+    joined = "\x1f".join(words)
+    texts = sorted(text for _, text in fields)
+    return identifier(joined), tuple(sorted(code for code, _ in fields)), "\x1e".join([joined, *texts])
+
+
+def _pack(record: tuple[int, tuple[int, ...], str]) -> bytes:
+    """16 bytes of the tuple of identifiers, then 16 of the canonical text."""
+    words, ids, text = record
+    proof = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return xxhash.xxh3_128_digest(words.to_bytes(16) + b"".join(i.to_bytes(16) for i in ids)) + proof
 
 
 _KEYS = "log_id bigint, record binary"

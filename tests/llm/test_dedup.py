@@ -39,6 +39,26 @@ def test_odd_messages():
     assert dedup.record_tuple('{"msg": null, "a": {"y": 1, "x": 2}}') == dedup.record_tuple('{"a": {"x": 2, "y": 1}, "msg": null}')
 
 
+def test_json_with_blanks_of_any_kind():
+    key = dedup.record_tuple(SAME[0])
+    for blank in ("\xa0", "\u2009", "\u3000", "\u200b", "\ufeff", "\x0b"):
+        text = f'{{"code"{blank}:{blank}"E887",{blank}"msg":"Hold release delayed after 45.9 seconds"{blank}, "attempt":16,{blank}"delta":"-40.7"}}'
+        assert dedup.record_tuple(text) == key, repr(blank)
+    inside = dedup.record_tuple('{"a":\xa0"x\xa0y \\" z"}')
+    assert inside == dedup.record_tuple('{"a":"x y \\" z"}') and len(inside[1]) == 1
+    assert dedup.record_tuple('{"a"\xa0"b"}')[2].startswith("a\x1fb")  # no JSON in any reading
+
+
+def test_colliding_identifiers_stay_apart(monkeypatch):
+    monkeypatch.setattr(dedup, "identifier", lambda text: 7)
+    dedup.field_code.cache_clear()
+    packed = [dedup._pack(dedup.record_tuple(t)) for t in [SAME[0], *OTHER]]
+    assert len({p[:16] for p in packed}) < len(packed) == len(set(packed))
+    assert {dedup._pack(dedup.record_tuple(t)) for t in SAME} == {packed[0]}
+    monkeypatch.undo()
+    dedup.field_code.cache_clear()
+
+
 def brute(rows):
     first, out = {}, []
     for i, m in sorted(rows):
