@@ -4,17 +4,21 @@ Every text is tokenised into a character-class shape mask (digits ``9``, letters
 Each distinct mask is mapped to a parser once, a list of byte slices; all texts of a mask are then converted
 together by numpy, and local times go through versioned zone transition tables.
 
-Defined results: null, empty, blank, too long or senseless texts give a null instant (zero dates and counts, and
+Defined results: null, empty, blank or senseless texts give a null instant (zero dates and counts, and
 whatever lies outside YEARS, are senseless), as do texts whose zone,
 date order or year would have to be guessed (unknown zone abbreviation or time zone name, slashes without a
-date order, no year without a load day). Repeated rows are converted alike; empty tables give empty results.
+date order, no year without a load day). A leap second (``:60`` at the end of a minute of 59) is the first second after
+it, ``24:00:00`` the end of its day. A zone name in brackets or parentheses behind an offset shifts nothing. An
+abbreviation stands for what it stood for in its zone at that time. Texts of any length are read. Repeated rows are converted alike;
+empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -24,6 +28,7 @@ from pyspark.sql import types as T
 
 from logloom.functions import zones
 
+#: Texts are padded to the widths of their classes, which grow fourfold from this.
 WIDTH = 48
 #: Instants before the first or from the second year on are senseless.
 YEARS = (1971, 2100)
@@ -37,7 +42,7 @@ MONTHS = {
 }
 
 _TIME = r"(?P<h>9{1,2}): ?(?P<mi>99)(?:: ?(?P<s>99)(?:[.,](?P<f>9{1,12}))?)?"
-_ZONE = r"(?: ?(?P<ap>AA)(?!A))?(?: ?\(?(?P<z>A|A{3,5})\)?(?!A))?(?: ?(?P<sign>[+-])(?P<oh>99)(?::?(?P<om>99))?)?"
+_ZONE = r"(?: ?(?P<ap>AA)(?!A))?(?: ?\(?(?P<z>A|A{3,5})\)?(?!A))?(?: ?(?P<sign>[+-])(?P<oh>99)(?::?(?P<om>99))?(?: ?\([A ]+\)|\[[A/_+-]+\])?)?"
 _COUNT = r"(?P<c>9{9,20})(?:\.(?P<cf>9{1,9}))?"
 #: Shapes, over masks. n1 and n2 are day and month in the source's order.
 SHAPES = [
@@ -51,8 +56,10 @@ SHAPES = [
         rf"(?:A{{2,9}},? )?(?P<d>9{{1,2}})\.? (?P<mon>A{{3,9}}) (?P<y>9{{4}}),? {_TIME}{_ZONE}",
         rf"(?:A{{2,9}},? )?(?P<mon>A{{3,9}}) +(?P<d>9{{1,2}}),? (?P<y>9{{4}}),? {_TIME}{_ZONE}",
         rf"(?P<mon>A{{3}}) {{1,2}}(?P<d>9{{1,2}}) {_TIME}{_ZONE}",
+        rf"(?P<y>9{{4}})-(?P<doy>999)(?:(?P<t>A)|[ _]){_TIME}{_ZONE}",
+        rf"(?P<y>9{{4}})-(?P<w>A)(?P<week>99)-(?P<wd>9)(?:(?P<t>A)|[ _]){_TIME}{_ZONE}",
         _COUNT,
-        rf"[^A9]*(?:A+ ?)*\({_COUNT}(?:[+-]9{{2}}:?9{{2}})?\)[^A9]*",
+        rf"[^A9]*+(?:A++ ?)*+\({_COUNT}(?:[+-]9{{2}}:?9{{2}})?\)[^A9]*+",
     )
 ]
 
@@ -63,7 +70,7 @@ for _a, _b in (("A", "Z"), ("a", "z")):
 _CLASS[ord("\t")] = ord(" ")
 
 
-@functools.lru_cache(maxsize=65_536)
+@functools.lru_cache(maxsize=16_384)
 def parser_for(mask: str) -> dict[str, tuple[int, int]] | None:
     """The byte slices of the parts of all texts with this mask; None if no shape fits."""
     for shape in SHAPES:
@@ -72,18 +79,24 @@ def parser_for(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
-def _plain(text: object) -> bytes:
-    """The text without surrounding blanks and quotes and with ASCII digits; b'' if it can't be a time."""
-    if not isinstance(text, str) or len(text) > 4 * WIDTH:
-        return b""
-    text = text.strip().strip("\"'“”„«»").strip()
-    if not text.isascii():
-        text = "".join(str(int(c)) if c.isdecimal() else " " if c.isspace() else c for c in text)
-    try:
-        raw = text.encode("ascii")
-    except UnicodeEncodeError:
-        return b""
-    return raw if len(raw) <= WIDTH and b"\0" not in raw else b""
+_EDGES = "\"'“”„«»"
+
+
+def _ascii(text: str) -> str:
+    """With ASCII digits, letters without accents and plain blanks; '' if it can't be a time."""
+    text = "".join(str(int(c)) if c.isdecimal() else " " if c.isspace() else c for c in text)
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else ""
+
+
+def _plain(texts) -> list[str]:
+    """The texts without surrounding blanks and quotes, in ASCII; '' for what can't be a time."""
+    out = [x.strip().strip(_EDGES).strip() if isinstance(x, str) else "" for x in texts]
+    odd = {x for x in out if not x.isascii() or "\0" in x}
+    if odd:
+        good = {x: "" if "\0" in x else _ascii(x) for x in odd}  # each distinct one once
+        out = [good.get(x, x) for x in out]
+    return out
 
 
 def _number(digits: np.ndarray) -> np.ndarray:
@@ -131,22 +144,57 @@ def _latest_year(m: np.ndarray, d: np.ndarray, load_days: np.ndarray) -> np.ndar
     return year
 
 
+def _month_day(days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Year, month and day of days since 1970."""
+    at = days.astype("datetime64[D]")
+    year, month = at.astype("datetime64[Y]"), at.astype("datetime64[M]")
+    return year.astype(np.int64) + 1970, (month - year).astype(np.int64) + 1, (at - month).astype(np.int64) + 1
+
+
+def _of_year(year: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Month and day of a day of the year, and whether there is one."""
+    _, month, day = _month_day(_days(year, np.ones_like(year), np.ones_like(year)) + number - 1)
+    return month, day, (number >= 1) & (number <= 365 + _leap(year))
+
+
+def _of_week(year: np.ndarray, week: np.ndarray, weekday: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Year, month and day of a weekday (1: Monday) of a week of ISO 8601, and whether there is one."""
+    fourth = _days(year, np.ones_like(year), np.full_like(year, 4))
+    days = fourth - (fourth + 3) % 7 + (week - 1) * 7 + weekday - 1
+    own = _month_day(days - weekday + 4)[0]  # the year that the week's Thursday lies in
+    return *_month_day(days), (week >= 1) & (weekday >= 1) & (weekday <= 7) & (own == year)
+
+
 _LENGTHS = np.array([0, 31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31, 0, 0, 0])
 
 
-def to_utc_us(texts, zone_names, date_orders, load_days) -> tuple[np.ndarray, np.ndarray]:
+def to_utc_us(texts, zone_names, date_orders, load_days, tables: Mapping[str, zones.ZoneTable] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Microseconds since 1970 UTC of each text, and whether it denotes an instant.
 
     zone_names and date_orders are those of each text's source, load_days the days since 1970 (negative
-    before; the smallest int64 where there is none).
+    before; the smallest int64 where there is none). Without ``tables`` they are made here.
     """
-    n = len(texts)
-    raw = np.array([_plain(t) for t in texts], f"S{WIDTH}")
-    chars = raw.view(np.uint8).reshape(n, WIDTH) if n else np.zeros((0, WIDTH), np.uint8)
-    masks, group = np.unique(_CLASS[chars].view(f"S{WIDTH}").ravel(), return_inverse=True) if n else ([], np.zeros(0, int))
+    plain = _plain(texts)
+    zone_names, date_orders = np.asarray(zone_names, object), np.asarray(date_orders, object)
+    sizes = np.array([len(x) for x in plain], np.int64)
+    out, good = np.zeros(len(plain), np.int64), np.zeros(len(plain), bool)
+    width, low = WIDTH, 0
+    while low < sizes.max(initial=0):
+        rows = np.flatnonzero((sizes > low) & (sizes <= width))
+        if len(rows):
+            raw = np.array([plain[k] for k in rows], f"S{width}")
+            out[rows], good[rows] = _class_to_utc(raw, zone_names[rows], date_orders[rows], load_days[rows], zones.table if tables is None else tables.get)
+        low, width = width, width * 4
+    return out, good
+
+
+def _class_to_utc(raw: np.ndarray, zone_names: np.ndarray, date_orders: np.ndarray, load_days: np.ndarray, table_of) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts of one width."""
+    n, width = len(raw), raw.dtype.itemsize
+    chars = raw.view(np.uint8).reshape(n, width)
+    masks, group = np.unique(_CLASS[chars].view(f"S{width}").ravel(), return_inverse=True)
     order = np.argsort(group, kind="stable")
     ends = np.cumsum(np.bincount(group, minlength=len(masks)))
-    zone_names, date_orders = np.asarray(zone_names, object), np.asarray(date_orders, object)
     out, good, local = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
     for k, mask in enumerate(masks):
         at = parser_for(mask.decode("ascii")) if mask else None
@@ -154,7 +202,7 @@ def to_utc_us(texts, zone_names, date_orders, load_days) -> tuple[np.ndarray, np
             continue
         rows = order[ends[k - 1] if k else 0 : ends[k]]
         block = chars[rows]
-        part = {x: _number(block[:, a:b]) for x, (a, b) in at.items() if x not in ("ap", "z", "sign", "t", "mon", "f", "cf", "c")}
+        part = {x: _number(block[:, a:b]) for x, (a, b) in at.items() if x not in ("ap", "z", "sign", "t", "mon", "f", "cf", "c", "w")}
         if "c" in at:
             a, b = at["c"]
             size = b - a
@@ -173,7 +221,13 @@ def to_utc_us(texts, zone_names, date_orders, load_days) -> tuple[np.ndarray, np
         if "t" in at:
             a, b = at["t"]
             ok &= (block[:, a] | 32) == ord("t")
-        if "mon" in at:
+        if "doy" in at:
+            month, part["d"], sure = _of_year(part["y"], part["doy"])
+            ok &= sure
+        elif "week" in at:
+            part["y"], month, part["d"], sure = _of_week(part["y"], part["week"], part["wd"])
+            ok &= sure & ((block[:, at["w"][0]] | 32) == ord("w"))
+        elif "mon" in at:
             a, b = at["mon"]
             month = _lookup(block[:, a : min(b, a + 3)], MONTHS)
         elif "n1" in at:
@@ -196,7 +250,8 @@ def to_utc_us(texts, zone_names, date_orders, load_days) -> tuple[np.ndarray, np
             loaded = load_days[rows]
             ok &= loaded > -(1 << 40)
             year = _latest_year(np.clip(month, 1, 12), day, np.where(ok, loaded, 0))
-        ok &= (month >= 1) & (month <= 12) & (day >= 1) & (hour < 24) & (minute < 60) & (second < 60)
+        midnight = (hour == 24) & (minute == 0) & (second == 0)
+        ok &= (month >= 1) & (month <= 12) & (day >= 1) & ((hour < 24) | midnight) & (minute < 60) & ((second < 60) | (second == 60) & (minute == 59))
         ok &= day <= np.where((month == 2) & ~_leap(year), 28, _LENGTHS[np.clip(month, 0, 12)])
         us = _days(year, month, day) * DAY + ((hour * 60 + minute) * 60 + second) * US
         if "f" in at:
@@ -212,9 +267,13 @@ def to_utc_us(texts, zone_names, date_orders, load_days) -> tuple[np.ndarray, np
                 ok &= _lookup(block[:, a:b], {x.lower(): 1 for x in zones.UNIVERSAL}) == 1
         elif "z" in at:
             a, b = at["z"]
-            found = [_abbreviation(z, w) for z, w in zip(zone_names[rows], _words(block[:, a:b]))]
-            ok &= np.array([x is not None for x in found])
-            us = us - np.array([x or 0 for x in found], np.int64) * US
+            codes, pairs = pd.MultiIndex.from_arrays([zone_names[rows], _words(block[:, a:b])]).factorize(use_na_sentinel=False)
+            for c, (zone_name, word) in enumerate(pairs):
+                own, word = np.flatnonzero(codes == c), word.decode().upper()
+                zone = table_of(zone_name) if isinstance(zone_name, str) else None
+                found = us[own] if word in zones.UNIVERSAL else zone.by_abbreviation(us[own], word) if zone else None
+                ok[own] &= found is not None
+                us[own] = us[own] if found is None else found
         else:
             local[rows] = True
         out[rows], good[rows] = us, ok
@@ -223,38 +282,37 @@ def to_utc_us(texts, zone_names, date_orders, load_days) -> tuple[np.ndarray, np
         codes, names = pd.factorize(zone_names[pending], use_na_sentinel=False)
         for k, name in enumerate(names):
             rows = pending[codes == k]
-            if (zone := zones.table(name if isinstance(name, str) else None)) is None:
+            if (zone := table_of(name) if isinstance(name, str) else None) is None:
                 good[rows] = False
             else:
                 out[rows] = zone.to_utc(out[rows])
     return out, good
 
 
-@functools.lru_cache(maxsize=65_536)
-def _abbreviation(zone_name: object, word: bytes) -> int | None:
-    word = word.decode().upper()
-    if word in zones.UNIVERSAL:
-        return 0
-    zone = zones.table(zone_name) if isinstance(zone_name, str) else None
-    return zone.abbreviations.get(word) if zone else None
+def utc_us(text: Column, zone: Column, date_order: Column, load_day: Column | None = None, tables=None) -> Column:
+    """The instant of ``text`` in microseconds since 1970 UTC, null if it denotes none. ``tables``: a broadcast of
+    zone tables by name, as shared_tables() gives it; without it each worker makes its own."""
 
+    @F.pandas_udf(T.LongType())
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        first, end = (year_start(y) for y in YEARS)
+        own = None if tables is None else tables.value
+        for texts, names, orders, loaded in parts:
+            days = loaded.fillna(-(1 << 62)).astype(np.int64).to_numpy()
+            us, ok = to_utc_us(texts.tolist(), names.to_numpy(), orders.to_numpy(), days, own)
+            yield pd.Series(us).astype("Int64").mask(~ok | (us < first) | (us >= end))
 
-@F.pandas_udf(T.LongType())
-def _utc_us(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    first, end = (year_start(y) for y in YEARS)
-    for text, zone, order, loaded in parts:
-        days = loaded.fillna(-(1 << 62)).astype(np.int64).to_numpy()
-        us, ok = to_utc_us(text.tolist(), zone.to_numpy(), order.to_numpy(), days)
-        yield pd.Series(us).astype("Int64").mask(~ok | (us < first) | (us >= end))
+    days = F.lit(None).cast("bigint") if load_day is None else F.unix_date(load_day).cast("bigint")
+    return run(text, zone, date_order, days)
 
 
-def utc_us(text: Column, zone: Column, date_order: Column, load_day: Column | None = None) -> Column:
-    """The instant of ``text`` in microseconds since 1970 UTC, null if it denotes none."""
-    days = F.lit(None).cast("bigint") if load_day is None else F.unix_date(load_day).cast("bigint")
-    return _utc_us(text, zone, date_order, days)
+def shared_tables(sources: DataFrame):
+    """A broadcast of the tables of all zones that the sources name: no more than the zone database has, some 600."""
+    listed = sources.select("time_zone").filter(F.col("time_zone").isin(*sorted(zones.names()))).distinct().collect()
+    return sources.sparkSession.sparkContext.broadcast({r["time_zone"]: zones.table(r["time_zone"]) for r in listed})
 
 
-def normalize_timestamps(entries: DataFrame, sources: DataFrame, text: str, load_day: str | None = None) -> DataFrame:
+def normalize_timestamps(entries: DataFrame, sources: DataFrame, text: str, load_day: str | None = None, tables=None) -> DataFrame:
     """``entries`` with ``utc_us``, the instant of column ``text`` by the zone and date order of its source.
 
     ``sources`` (one row a source) is joined by ``source_id``; its size decides how. Rows of unknown or null
@@ -264,19 +322,20 @@ def normalize_timestamps(entries: DataFrame, sources: DataFrame, text: str, load
     source, zone, order = (next(n for k in range(len(taken) + 1) if (n := f"_{c}{k}") not in taken) for c in ("source", "zone", "order"))
     own = sources.select(F.col("source_id").alias(source), F.col("time_zone").alias(zone), F.col("date_order").alias(order))
     joined = entries.join(own, F.col("source_id") == F.col(source), "left")
-    us = utc_us(F.col(text), F.col(zone), F.col(order), F.col(load_day) if load_day else None)
+    us = utc_us(F.col(text), F.col(zone), F.col(order), F.col(load_day) if load_day else None, tables or shared_tables(sources))
     return joined.withColumn("utc_us", us).drop(source, zone, order)
 
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
     """All times of log_entries and raw_logs: record_kind, record_id, the text, its UTC instant and zone table version."""
     sources = spark.read.parquet(f"{sf}/sources.parquet")
+    tables = shared_tables(sources)
     entries = spark.read.parquet(f"{sf}/log_entries.parquet").select("log_id", "source_id", "timestamp_utc", "load_day")
     raw = spark.read.parquet(f"{sf}/raw_logs.parquet").select("raw_id", "source_id", "ingested_at_utc")
-    one = normalize_timestamps(entries, sources, "timestamp_utc", "load_day").select(
+    one = normalize_timestamps(entries, sources, "timestamp_utc", "load_day", tables).select(
         F.lit("entry").alias("record_kind"), F.col("log_id").alias("record_id"), F.col("timestamp_utc").alias("text"), "utc_us"
     )
-    two = normalize_timestamps(raw, sources, "ingested_at_utc").select(
+    two = normalize_timestamps(raw, sources, "ingested_at_utc", tables=tables).select(
         F.lit("raw").alias("record_kind"), F.col("raw_id").alias("record_id"), F.col("ingested_at_utc").alias("text"), "utc_us"
     )
     return one.unionByName(two).withColumn("instant", F.timestamp_micros("utc_us")).withColumn("zone_tables", F.lit(zones.version()))

@@ -63,6 +63,25 @@ def at(*args, micros=0):
         ("T+00:14:09", "UTC", "DMY", None, None),
         ("2026-01-09 10:00:00", "Nowhere/Else", "DMY", None, None),
         ("2026-01-09 10:00:00", None, "DMY", None, None),
+        ("Tue Mar 03 2026 14:05:06 GMT+0100 (Central European Standard Time)", "UTC", "DMY", None, at(2026, 3, 3, 13, 5, 6)),
+        ("2026-03-03T14:05:06+01:00[Europe/Berlin]", "UTC", "DMY", None, at(2026, 3, 3, 13, 5, 6)),
+        ("Wednesday, 15. September 2025, 10:00:00.123456 CEST", "Europe/Berlin", "DMY", None, at(2025, 9, 15, 8, micros=123456)),
+        (" " * 500 + "2026-03-03T14:05:06Z" + " " * 500, "UTC", "DMY", None, at(2026, 3, 3, 14, 5, 6)),
+        ("3. März 2026 14:05:06", "UTC", "DMY", None, at(2026, 3, 3, 14, 5, 6)),
+        ("2026-062T14:05:06Z", "UTC", "DMY", None, at(2026, 3, 3, 14, 5, 6)),
+        ("2025-366T14:05:06Z", "UTC", "DMY", None, None),
+        ("2026-W10-2T14:05:06Z", "UTC", "DMY", None, at(2026, 3, 3, 14, 5, 6)),
+        ("2026-W01-1T00:00:00Z", "UTC", "DMY", None, at(2025, 12, 29)),
+        ("2025-W53-1T00:00:00Z", "UTC", "DMY", None, None),
+        ("2026-03-03T24:00:00Z", "UTC", "DMY", None, at(2026, 3, 4)),
+        ("2026-03-03T24:00:01Z", "UTC", "DMY", None, None),
+        ("2016-12-31T23:59:60Z", "UTC", "DMY", None, at(2017, 1, 1)),
+        ("2016-12-31T23:58:60Z", "UTC", "DMY", None, None),
+        ("2045-07-01 12:00:00", "Europe/Berlin", "DMY", None, at(2045, 7, 1, 10)),
+        ("2012-07-01 12:00:00 MSK", "Europe/Moscow", "DMY", None, at(2012, 7, 1, 8)),
+        ("2026-07-01 12:00:00 MSK", "Europe/Moscow", "DMY", None, at(2026, 7, 1, 9)),
+        ("2026-07-01 12:00:00 CET", "Europe/Berlin", "DMY", None, at(2026, 7, 1, 11)),
+        ("A" * 50_000 + "(", "UTC", "DMY", None, None),
         (None, "UTC", "DMY", None, None),
         ("", "UTC", "DMY", None, None),
         ("x" * 100_000, "UTC", "DMY", None, None),
@@ -88,6 +107,14 @@ def test_zone_tables_against_the_library(local, name):
     assert got == int(want // 1) * 1_000_000
 
 
+def test_tables_are_those_of_the_named_version(spark):
+    sources = spark.createDataFrame([("a", "Europe/Berlin"), ("b", "No/Zone"), ("c", None), ("d", "../../etc/passwd")], "source_id string, time_zone string")
+    tables = t.shared_tables(sources).value
+    assert list(tables) == ["Europe/Berlin"] and zones.version() != "system"
+    days, none = np.array([NONE] * 2), np.array(["DMY"] * 2)
+    assert t.to_utc_us(["2026-01-01 00:00:00"] * 2, ["Europe/Berlin", "Asia/Tokyo"], none, days, tables)[1].tolist() == [True, False]
+
+
 def test_operator(spark):
     sources = spark.createDataFrame([("a", "x", "Europe/Berlin", "DMY")], "source_id string, source_type string, time_zone string, date_order string")
     schema = "id bigint, source_id string, ts string, load_day date, utc_us string, _zone0 int"
