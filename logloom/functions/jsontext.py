@@ -7,13 +7,38 @@ import re
 from json.decoder import scanstring
 
 _GAP = re.compile(r"[ \t\n\r]*")
+_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Digits of the longest integer that is read as a number; longer ones stay texts of digits.
+LONGEST_INTEGER = 4000
+#: An escape: a pair of halves of a character, one half, or any other.
+_ESCAPE = re.compile(r"\\(u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|u[dD][89a-fA-F][0-9a-fA-F]{2}|.)", re.S)
+
+
+class Digits(str):
+    """An integer that is too long to be counted with, as it is written."""
+
+
+def whole(digits: str) -> int | Digits:
+    return int(digits) if len(digits) <= LONGEST_INTEGER else Digits(digits)
+
+
+def well_formed(text: str) -> str:
+    """Half characters, which no encoding can hold, become replacement characters."""
+    return text if text.isascii() or not _SURROGATE.search(text) else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def without_halves(text: str) -> str:
+    """JSON whose escapes stand for whole characters only, as a cut text may end in half of one."""
+    if "\\ud" not in text and "\\uD" not in text:
+        return text
+    return _ESCAPE.sub(lambda m: "\\ufffd" if len(m[1]) == 5 else m[0], text)
 
 
 def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
-_DECODER = json.JSONDecoder(parse_constant=_no_constant)
+_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=whole)
 
 
 def _skip(text: str, at: int) -> int:
@@ -45,6 +70,7 @@ def _members(text: str, opening: str, closing: str) -> list[tuple[str, object, s
                 if text[at : at + 1] != '"':
                     raise ValueError("no name")
                 name, at = scanstring(text, at + 1, True)
+                name = well_formed(name)
                 at = _skip(text, at)
                 if text[at : at + 1] != ":":
                     raise ValueError("no colon")
@@ -71,7 +97,7 @@ def _members(text: str, opening: str, closing: str) -> list[tuple[str, object, s
 def as_text(value: object, written: str, null: str) -> str:
     """The text of a property: strings without quotes, null as given, anything else as written."""
     if isinstance(value, str):
-        return value
+        return well_formed(value)
     return null if value is None else written
 
 
@@ -93,6 +119,6 @@ class Fields(dict):
 def parse(text: str) -> object:
     """Any JSON value, strictly."""
     try:
-        return json.loads(text, parse_constant=_no_constant)
+        return json.loads(text, parse_constant=_no_constant, parse_int=whole)
     except RecursionError:
         raise ValueError("too deep") from None

@@ -7,30 +7,39 @@ folded through a promotion lattice into one union schema, and all records are ca
 Defined results: a record whose field map and payload are both null, or whose payload isn't a JSON object, has no
 fields but stays in the table. A field whose non-null values have no type in nine tenths of them has no type: it
 is never ``retyped`` or ``renamed``. Repeated rows count as often as they occur, which changes no result. A file
-without a predecessor (file 1, or a gap) has no changes. Empty tables give empty results.
+is compared with the one of the number before it; the first has no changes. After a missing file the changes against the last file there is
+are reported apart (``p4_gaps``), and the union schema follows renames across it. Half
+characters in escapes are read as replacement characters. An integer beyond the range of doubles is an integer without
+a range. Records without series or file number are in the table but in no schema. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.functions.jsontext import Digits, whole, without_halves
 from logloom.functions.storage import materialize, spread
 
 #: A type holds for a file if at least this share of the non-null values has it.
 DOMINANT = 0.9
 #: A name goes on under another one if this share of the forms agrees and means differ by less than this factor.
 FORM_SHARE, RANGE_FACTOR = 0.6, 3.0
-#: Forms are told apart by so many leading parts, which bounds their number.
+#: Forms are told apart by so many leading parts, and by what kinds of parts the rest has, which bounds their number.
 FORM_PARTS = 6
+#: Names of an object's fields up to so many characters stand in its form as they are, more as a digest of all.
+NAMES_SHOWN = 64
 
 # The promotion lattice: integer < decimal < string; boolean, object and array < string.
 PROMOTE = {("integer", "decimal"): "decimal", ("decimal", "integer"): "decimal"}
@@ -50,17 +59,29 @@ def promote(a: str | None, b: str | None) -> str | None:
     return PROMOTE.get((a, b), "string")
 
 
+def promoted(a: Column, b: Column) -> Column:
+    """promote() of columns, from the same lattice."""
+    out = F.when(a.isNull() | (a == b), b).when(b.isNull(), a)
+    for (x, y), least in PROMOTE.items():
+        out = out.when((a == x) & (b == y), least)
+    return out.otherwise("string")
+
+
 @functools.lru_cache(maxsize=262_144)
 def describe_text(text: str) -> tuple[str, float | None]:
     """The form of a text (runs of letters a, digits 9, both w; the rest as it stands) and its number, if it has one."""
     if m := _LEADING.fullmatch(text):
-        return ("9u" if text[-1].isalpha() or text[-1] == "%" else "9"), float(m[1])
+        return ("9u" if text[-1].isalpha() or text[-1] == "%" else "9"), _number(m[1])
     out: list[str] = []
-    for part in _PARTS.findall(text[:256]):
+    rest: set[str] = set()
+    for m in _PARTS.finditer(text):
+        part = m[0]
         kind = part if not part.isalnum() else "9" if part.isdigit() else "a" if part.isalpha() else "w"
-        if not out or out[-1] != kind:
+        if len(out) >= FORM_PARTS:
+            rest.add(kind if kind in "a9w" or kind.isspace() else ".")
+        elif not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out[:FORM_PARTS]), None
+    return "".join(out) + ("\0" + "".join(sorted(" " if x.isspace() else x for x in rest)) if rest else ""), None
 
 
 def kind_of_text(text: str) -> str:
@@ -72,23 +93,36 @@ def kind_of_text(text: str) -> str:
     return "boolean" if text.lower() in ("true", "false") else "string"
 
 
+def _number(value: int | float | str) -> float | None:
+    """As a double; None beyond their range."""
+    try:
+        number = float(value)
+    except OverflowError:
+        return None
+    return number if math.isfinite(number) else None
+
+
 def describe(value: object, typed: bool) -> tuple[str, str, float | None, int]:
     """Kind, form, number and length of a non-null value; typed: of JSON, else a text."""
+    if isinstance(value, Digits):
+        return "integer", "", None, 0
     if typed and not isinstance(value, str):
         if isinstance(value, bool):
             return "boolean", "", None, 0
         if isinstance(value, int):
-            return "integer", "", float(value), 0
+            return "integer", "", _number(value), 0
         if isinstance(value, float):
-            return "decimal", "", value, 0
+            return "decimal", "", _number(value), 0
         if isinstance(value, dict):
             inner = next((x for x in value.values() if isinstance(x, str)), "")
-            return "object", ",".join(sorted(value))[:64] + ":" + describe_text(inner)[0], None, 0
+            names = ",".join(sorted(value))
+            names = names if len(names) <= NAMES_SHOWN else hashlib.md5(names.encode("utf-8", "replace")).hexdigest()
+            return "object", names + ":" + describe_text(inner)[0], None, 0
         inner = next((x for x in value if isinstance(x, str)), "") if isinstance(value, list) else ""
         return "array", "[" + describe_text(inner)[0], None, 0
     kind = "string" if typed else kind_of_text(value)
     if kind in ("integer", "decimal"):
-        return kind, "", float(value), 0
+        return kind, "", _number(value), 0
     if kind == "boolean":
         return kind, "", None, 0
     form, number = describe_text(value)
@@ -98,7 +132,7 @@ def describe(value: object, typed: bool) -> tuple[str, str, float | None, int]:
 def parse_payload(text: str | None) -> dict:
     """The fields of a JSON object; none of anything else. The last of repeated keys wins."""
     try:
-        found = json.loads(text) if text else {}
+        found = json.loads(without_halves(text), parse_int=whole) if text else {}
     except (ValueError, RecursionError):
         return {}
     return found if isinstance(found, dict) else {}
@@ -107,6 +141,8 @@ def parse_payload(text: str | None) -> dict:
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[str, object]], bool]]:
     columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("series_id", "file_no", "fields", "payload")]
     for series, file_no, fields, payload in zip(*columns):
+        if series is None or file_no is None:
+            continue
         if payload is not None:
             yield series, file_no, list(parse_payload(payload).items()), True
         elif fields is not None:
@@ -236,11 +272,21 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table(arrays, [x.split()[0] for x in _CHANGE.split(", ")])
 
 
-def schema_changes(schemas: DataFrame) -> DataFrame:
-    """One row for each change of a file against the file before it in its series."""
+def _following(schemas: DataFrame) -> DataFrame:
+    """series_id, file_no, at: the next file of the series that there is."""
+    files = schemas.select("series_id", "file_no").distinct()
+    return files.withColumn("at", F.lead("file_no").over(W.partitionBy("series_id").orderBy("file_no")).cast("bigint")).filter("at is not null")
+
+
+def schema_changes(schemas: DataFrame, gaps: bool | None = False) -> DataFrame:
+    """One row for each change of a file against the file before it in its series. gaps: whether the number before is
+    missing, and the last file there is stands for it; None for both kinds."""
     columns = ["series_id", "field", "kind", "form", "n", "numbers", "total", "letters"]
+    following = _following(schemas)
+    if gaps is not None:
+        following = following.filter((F.col("at") > F.col("file_no") + 1) == F.lit(gaps))
     own = schemas.select(*columns, F.col("file_no").cast("bigint").alias("at"), F.lit(True).alias("own"))
-    before = schemas.select(*columns, (F.col("file_no").cast("bigint") + 1).alias("at"), F.lit(False).alias("own"))
+    before = schemas.join(following, ["series_id", "file_no"]).select(*columns, "at", F.lit(False).alias("own"))
     return own.unionByName(before).groupBy("series_id", "at").applyInArrow(_compare, _CHANGE)
 
 
@@ -279,15 +325,15 @@ def union_schema(schemas: DataFrame, names: DataFrame) -> DataFrame:
     per_file = values.groupBy("series_id", "file_no", "field").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), (F.max("n") >= DOMINANT * F.sum("n")).alias("sure"))
     named = per_file.join(names, ["series_id", "file_no"]).withColumn("field", F.coalesce(F.element_at("names", F.col("field")), "field"))
     kinds = named.groupBy("series_id", "field").agg(F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("kind")).otherwise("string"))).alias("kinds"))
-    one = F.when(F.size("kinds") == 1, F.element_at("kinds", 1)).when(F.col("kinds") == F.array(F.lit("decimal"), F.lit("integer")), "decimal").otherwise("string")
-    return kinds.select("series_id", "field", one.alias("type"))
+    least = F.aggregate("kinds", F.lit(None).cast("string"), promoted)  # at most one element a type
+    return kinds.select("series_id", "field", least.alias("type"))
 
 
 _RECORD = "record_id bigint, series_id bigint, file_no int, line_no int, values map<string,string>, rescued map<string,string>"
 
 
 def _text(value: object, typed: bool) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return value if value is None or type(value) is str else str(value) if isinstance(value, Digits) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def _cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,18 +376,25 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each change of a file's schema against the file before it."""
-    return schema_changes(file_schemas(_records(spark, sf)))
+    return schema_changes(materialize(file_schemas(_records(spark, sf)), "schemas"))  # read three times
 
 
 def p4_schema(spark: SparkSession, sf: str) -> DataFrame:
     """The union schema of each series."""
     schemas = materialize(file_schemas(_records(spark, sf)), "schemas")
-    return union_schema(schemas, current_names(schemas, schema_changes(schemas)))
+    return union_schema(schemas, current_names(schemas, schema_changes(schemas, None)))
+
+
+def p4_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes of files whose number before is missing, against the last file there is, ``previous_file_no``."""
+    schemas = materialize(file_schemas(_records(spark, sf)), "schemas")
+    previous = _following(schemas).select("series_id", F.col("at").alias("file_no"), F.col("file_no").alias("previous_file_no"))
+    return schema_changes(schemas, True).join(previous, ["series_id", "file_no"])
 
 
 def p4_records(spark: SparkSession, sf: str) -> DataFrame:
     """One consistent table of all records."""
     records = _records(spark, sf)
     schemas = materialize(file_schemas(records), "schemas")
-    names = materialize(current_names(schemas, schema_changes(schemas)), "names")
+    names = materialize(current_names(schemas, schema_changes(schemas, None)), "names")
     return cast_records(records, names, union_schema(schemas, names))

@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": skew.p3_found,
         "p3_pairs": skew.p3_pairs,
         "p4_found": drift.p4_found,
+        "p4_gaps": drift.p4_gaps,
         "p4_schema": drift.p4_schema,
         "p4_records": drift.p4_records,
         "p7_found": loglines.p7_found,

@@ -1,6 +1,7 @@
 import json
 
 from logloom.operators import drift
+from pyspark.sql import functions as F
 
 SCHEMA = "record_id bigint, series_id bigint, file_no int, line_no int, fields map<string,string>, payload string"
 
@@ -43,6 +44,35 @@ def test_text_maps_and_gaps(spark):
     assert changes(spark, {1: one, 3: two}, typed=False) == []
 
 
+def test_changes_across_a_missing_file(spark):
+    rows = rows_of({1: [{"ms": k} for k in range(20)], 4: [{"took": k + 1} for k in range(20)], 5: [{"took": k + 0.5} for k in range(20)]})
+    schemas = drift.file_schemas(spark.createDataFrame(rows, SCHEMA))
+    assert [tuple(r)[1:] for r in drift.schema_changes(schemas).collect()] == [(5, "retyped", "took", "")]
+    assert [tuple(r)[1:] for r in drift.schema_changes(schemas, True).collect()] == [(4, "renamed", "ms", "took")]
+    types = drift.union_schema(schemas, drift.current_names(schemas, drift.schema_changes(schemas, None))).collect()
+    assert [(r["field"], r["type"]) for r in types] == [("took", "decimal")]
+
+
+def test_values_that_no_double_or_encoding_holds(spark):
+    huge, endless = "9" * 400, "7" * 6000
+    payloads = [f'{{"n": {huge}, "t": "cut \\ud83d", "o": {{"deep": "\\udc00"}}}}', f'{{"n": {endless}, "t": "whole \\ud83d\\ude00", "\\ud83d": 1e999}}', '{"a":' * 2000 + "1" + "}" * 2000]
+    rows = [(k, 1, 1, k, None, p) for k, p in enumerate(payloads)] + [(9, 1, 2, 1, {"n": huge, "x": "1" * 400 + "." + "5"}, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    schemas = drift.file_schemas(df)
+    kinds = {(r["field"], r["kind"]) for r in schemas.filter("file_no = 1").collect()}
+    assert {("n", "integer"), ("t", "string"), ("o", "object"), ("\ufffd", "decimal"), ("a", "object")} <= kinds
+    names = drift.current_names(schemas, drift.schema_changes(schemas, None))
+    out = {r["record_id"]: r["values"] for r in drift.cast_records(df, names, drift.union_schema(schemas, names)).collect()}
+    assert out[0]["t"] == "cut \ufffd" and out[1]["t"] == "whole \U0001f600" and out[1]["n"] == endless
+
+
+def test_forms_of_whole_texts():
+    long = "ab " * 500
+    assert drift.describe_text(long)[0] != drift.describe_text(long + "7")[0]
+    names = {f"field_{k}": 1 for k in range(100)}
+    assert drift.describe(names, True)[1] != drift.describe({**names, "other": 1}, True)[1]
+
+
 def test_odd_records(spark):
     rows = [(1, 1, 1, 1, None, None), (2, 1, 1, 2, None, "[1]"), (3, 1, 1, 3, None, "no json"), (4, None, None, None, {"a": None}, None), (5, 1, 2, 1, None, '{"a": 1}'), (5, 1, 2, 1, None, '{"a": 1}')]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -71,3 +101,10 @@ def test_lattice():
     assert drift.promote("integer", "decimal") == "decimal"
     assert drift.promote("boolean", "integer") == "string"
     assert drift.promote(None, "object") == "object"
+
+
+def test_lattice_of_columns_is_the_same(spark):
+    kinds = [None, "integer", "decimal", "boolean", "string", "object", "array"]
+    df = spark.createDataFrame([(a, b) for a in kinds for b in kinds], "a string, b string")
+    for r in df.withColumn("both", drift.promoted(F.col("a"), F.col("b"))).collect():
+        assert r["both"] == drift.promote(r["a"], r["b"])
