@@ -64,11 +64,89 @@ def test_empty(spark):
     assert L.parse_logs(raw(spark, [])).count() == 0
 
 
-def test_similar_templates_merge():
+def test_similar_heads_merge():
     tree = L.TemplateTree()
-    one = tree.find(("<ts>", " ", "<word>", "x", "a"))
-    two = tree.find(("<ts>", " ", "<word>", "x", "b"))
-    assert one is two and one.tokens[-1] == "<*>" and one.count == 2
+    one, two, far = (("<ts>", " ", "<word>", *rest) for rest in (("x", "a"), ("x", "b"), ("y", "c")))
+    tree.add(one, 3, [0] * 5, [0] * 5)
+    tree.add(two, 2, [0] * 5, [0] * 5)
+    assert tree.find(one) is tree.find(two) and tree.find(one).tokens[-1] == "<*>" and tree.find(one).n == 5
+    assert tree.find(("<word>", " ", "<ts>", "x", "a")) is None and tree.find(far) is tree.find(one)
+    for k in range(100):
+        tree.add(("<ts>", " ", f"{k}a", f"{k}b", f"{k}c"), 1, [0] * 5, [0] * 5)
+    assert len(tree.leaves[tree.route(one)]) <= L.LEAF_AT_MOST
+
+
+def lines_of(spark, files):
+    """Raw rows, one a line, of files by path."""
+    rows = []
+    for path, lines in files.items():
+        for k, line in enumerate(lines):
+            rows.append((len(rows) + 1, line, {"path": path, "start_offset": str(100 * k)}))
+    return raw(spark, rows)
+
+
+def entries(spark, files):
+    return [(r["path"], r["ts_text"], r["severity"], r["component"], r["message"]) for r in L.parse_logs(lines_of(spark, files)).orderBy("path", "raw_id").collect()]
+
+
+WORDS = ["charge ok", "refund late", "limit near 3", "callback lost twice", "session ended", "quota used up", "posting done"]
+
+
+def test_files_of_unlisted_layouts_are_read_by_learned_templates(spark):
+    at = [f"2025-10-01 10:00:{k:02}" for k in range(7)]
+    files = {
+        "access": [f'10.0.{k}.{k} - - [01/Oct/2025:10:00:0{k} +0000] "GET /{w}" 200 {k}' for k, w in enumerate(WORDS)],
+        "epoch": [f"17593128{k}0.125 WARN gate: {w}" for k, w in enumerate(WORDS)],
+        "named": [f"router {t} ERROR {w}" for t, w in zip(at, WORDS)],
+        "bare": [f"{t} ledger {w}" for t, w in zip(at, WORDS)],
+        "levels": [f"INFO gate: {w}" for w in WORDS],
+    }
+    got = entries(spark, files)
+    want = [("access", f"01/Oct/2025:10:00:0{k} +0000", "INFO", None, f'"GET /{w}" 200 {k}') for k, w in enumerate(WORDS)]
+    want += [("bare", t, "INFO", "ledger", w) for t, w in zip(at, WORDS)]
+    want += [("epoch", f"17593128{k}0.125", "WARNING", "gate", w) for k, w in enumerate(WORDS)]
+    want += [("levels", None, "INFO", "gate", w) for w in WORDS]
+    want += [("named", t, "ERROR", "router", w) for t, w in zip(at, WORDS)]
+    assert got == want
+
+
+def test_the_tree_decides_by_the_corpus(spark):
+    """The same line begins an entry in files of its layout and continues one in files of another."""
+    line = "retry 2025-10-01 10:00:09 ERROR gave up"
+    own = [f"retry 2025-10-01 10:00:0{k} ERROR {w}" for k, w in enumerate(WORDS)]
+    other = ["2025-10-01T10:00:00Z err [w-1] Gate: failed", line, "  at X"]
+    assert entries(spark, {"a": [*own, line]})[-1] == ("a", "2025-10-01 10:00:09", "ERROR", "retry", "gave up")
+    assert entries(spark, {"b": other}) == [("b", "2025-10-01T10:00:00Z", "ERROR", "Gate", f"failed\n{line}\n  at X")]
+    both = entries(spark, {"a": [*own, line], "b": other})
+    assert len(both) == 9 and both[-1][4] == f"failed\n{line}\n  at X"
+
+
+def test_rare_places_of_a_time_are_no_layout(spark):
+    lines = [x for k in range(30) for x in (f"app-{k % 2} | 2025-10-01 10:00:{k:02} | {WORDS[k % 7]}", "  at X")] + ["we saw this last at 2025-10-01 10:00:00 too"]
+    got = entries(spark, {"f": lines})
+    assert len(got) == 30 and got[-1][4].endswith("at X\nwe saw this last at 2025-10-01 10:00:00 too")
+
+
+def test_protocol_lines(spark):
+    assert L.parse_entry("<34>1 2003-10-11T22:14:15.003Z mymachine su - ID47 - failed for lonvick") == ("2003-10-11T22:14:15.003Z", "CRITICAL", "su", "failed for lonvick")
+    assert L.parse_entry("<165>1 2003-10-11T22:14:15.003Z host evntslog 77 ID47 [a@1 b=\"c\"] done")[:3] == ("2003-10-11T22:14:15.003Z", "INFO", "evntslog")
+
+
+def test_half_characters_in_escapes(spark):
+    (found,) = entries(spark, {"f": ['{"ts":"T\\ud83d","level":"warn","msg":"cut \\ud83d","app":"\\udc00x"}']})
+    assert found == ("f", "T\ufffd", "WARNING", "\ufffdx", "cut \ufffd")
+
+
+def test_a_row_delivered_very_often(spark):
+    rows = [(100 + k, "Oct  1 15:06:29 n s[1]: info one", {"path": "f", "start_offset": "0"}) for k in range(3000)] + [(7, "  more", {"path": "f", "start_offset": "40"})]
+    df = raw(spark, rows)
+    got = L.parse_logs(df).collect()
+    assert [(r["raw_id"], r["message"]) for r in got] == [(100, "one\n  more")]
+
+
+def test_texts_are_shuffled_once(spark):
+    plan = L.parse_logs(raw(spark, [(1, "x", {"path": "f"})]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_text" not in plan  # read from what the one pass over sorted stretches has stored
 
 
 @pytest.mark.parametrize(
