@@ -39,6 +39,7 @@ NOISE = (
 
 @dataclass(frozen=True)
 class IngestOptions:
+    #: Texts that are handed to the embedder before their vectors are handed on.
     processing_batch_size: int = 256
     drop_noise: bool = True
     noise_patterns: tuple[str, ...] = NOISE
@@ -62,8 +63,24 @@ class SchedulerOptions:
 @dataclass(frozen=True)
 class EmbeddingOptions:
     batch_size: int = 16
+    #: Batches in flight at a time in each partition, for a server.
     parallel_batches: int = 4
     dims: int = 768
+    #: The server that embeds; without one the built-in embedder does.
+    url: str | None = None
+    model: str = "nomic-embed-text"
+
+
+@dataclass(frozen=True)
+class StoreOptions:
+    #: The folder of the table below the store's.
+    collection: str = "log_chunks"
+    #: Only cosine is known.
+    distance: str = "Cosine"
+
+    def __post_init__(self) -> None:
+        if self.distance.strip().lower() != "cosine":
+            raise ValueError(f"unknown distance {self.distance!r}")
 
 
 @dataclass(frozen=True)
@@ -78,6 +95,9 @@ class SearchOptions:
 @dataclass(frozen=True)
 class ChatOptions:
     history_messages: int = 8
+    #: The server that answers; without one the built-in generator quotes the chunks.
+    url: str | None = None
+    model: str = "llama3.2"
     system_prompt: str = "You answer questions about logs. Answer only from the log context given. Quote entries with their timestamps. Say so if no log matches."
 
 
@@ -87,5 +107,6 @@ class Options:
     ingest: IngestOptions = field(default_factory=IngestOptions)
     scheduler: SchedulerOptions = field(default_factory=SchedulerOptions)
     embedding: EmbeddingOptions = field(default_factory=EmbeddingOptions)
+    store: StoreOptions = field(default_factory=StoreOptions)
     search: SearchOptions = field(default_factory=SearchOptions)
     chat: ChatOptions = field(default_factory=ChatOptions)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from logloom.config import ChatOptions
 from logloom.functions.text import iso
 
+# What stands for an empty context and for an answer without matches.
 NO_CONTEXT = "No matching logs found."
 NO_MATCH = "No matching logs were found for the current question and filters."
-STORE_ERROR, STORE_TEXT = "vector_store_unavailable", "Chat is temporarily unavailable because the log store cannot be reached."
-MODEL_ERROR, MODEL_TEXT = "llm_unavailable", "Chat is temporarily unavailable because the language model cannot be reached."
+STORE_ERROR, STORE_TEXT = "vector_store_unavailable", "No answer now: the table of logs doesn't respond."
+MODEL_ERROR, MODEL_TEXT = "llm_unavailable", "No answer now: the model doesn't respond."
 
 
 def _joined(lines: Column, sep: str) -> Column:
@@ -69,8 +71,8 @@ def prompt_history(messages: DataFrame, n: int = 8) -> DataFrame:
 def build_prompt(question: str, context_text: str, history: str = "", options: ChatOptions = ChatOptions()) -> str:
     """Preamble, history if any, context, question, closing instructions."""
     past = ["Conversation history:", history, ""] if history.strip() else []
-    rules = ["Answer briefly in natural language and cite timestamps from the context.", "Ask back if the context is insufficient.", "Do not invent anything that is not in the context."]
-    return "\n".join([options.system_prompt, "Use the provided context only.", *past, "Log context:", context_text, "", "Question:", question, "", *rules, ""])
+    rules = ["Keep it short, and name the times of the entries you rely on.", "If these entries don't settle the question, say what is missing."]
+    return "\n".join([options.system_prompt, *past, "Entries found:", context_text, "", "Question:", question, "", *rules, ""])
 
 
 #: (question, context, history) to answer tokens.
@@ -134,8 +136,6 @@ class Sessions:
         if self.path:
             with open(self.path + ".tmp", "w", encoding="utf-8") as f:
                 json.dump(self._messages, f)
-            import os
-
             os.replace(self.path + ".tmp", self.path)
 
 

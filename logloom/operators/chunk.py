@@ -34,9 +34,9 @@ def render(severity="severity", message="message") -> Column:
     return F.concat(head, F.coalesce(payload, F.lit("")))
 
 
-def chunk(entries: DataFrame, size: int = 512, overlap: int = 64, redacted: bool = True) -> DataFrame:
-    """The chunks of every entry, secrets replaced after cutting."""
+def chunk(entries: DataFrame, size: int = 512, overlap: int = 64, redacted: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The chunks of every entry, secrets replaced after cutting; columns in ``keep`` stay."""
     cut = entries.withColumn("_words", tokens(render())).withColumn("_w", F.explode(windows(F.col("_words"), size, overlap)))
     text = F.array_join("_w.words", " ")
     out = cut.withColumn("chunk_index", F.col("_w.chunk_index")).withColumn("chunk_id", chunk_id(F.col("log_hash"), F.col("_w.chunk_index")))
-    return out.withColumn("text", redact(text) if redacted else text).select(*schemas.names(schemas.CHUNK))
+    return out.withColumn("text", redact(text) if redacted else text).select(*schemas.names(schemas.CHUNK), *keep)

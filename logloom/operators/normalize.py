@@ -106,8 +106,8 @@ def residual(fields: Column) -> Column:
     return F.map_filter(fields, lambda k, _: ~F.lower(k).isin(*PROMOTED))
 
 
-def normalize(parsed: DataFrame) -> DataFrame:
-    """Parsed entries in the normalised schema."""
+def normalize(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed entries in the normalised schema; columns in ``keep`` stay beside it."""
     fields = F.coalesce("fields", F.create_map().cast("map<string,string>"))
     low = parsed.withColumn("_low", F.transform_keys(fields, lambda k, _: F.lower(k)))
     f = F.col("_low")
@@ -126,6 +126,7 @@ def normalize(parsed: DataFrame) -> DataFrame:
     for c in ("module", "method", "log_source", "destination"):
         own[c] = F.coalesce(own[c], F.lit(""))
     out = probed.select(
+        *keep,
         "source_id", "source_type",
         parse_timestamp(first_non_blank(f, TIMESTAMP), F.col("ingested_at_utc")).alias("timestamp_utc"),
         fold_severity(F.coalesce(first_non_blank(f, SEVERITY), F.lit("INFO"))).alias("severity"),
@@ -136,4 +137,4 @@ def normalize(parsed: DataFrame) -> DataFrame:
         *(c.alias(n) for n, c in own.items()),
         F.col("_probe.account_id").alias("account_id"), F.col("_probe.status_code").alias("status_code"),
     )
-    return out.select(*schemas.names(schemas.NORMALIZED))
+    return out.select(*schemas.names(schemas.NORMALIZED), *keep)

@@ -14,6 +14,7 @@ from logloom.functions.storage import spread
 from logloom.operators import chat, chunk, normalize, parse, search
 from logloom.operators.embed import embed, embed_one, to_points
 from logloom.operators.search import QueryFilter
+from logloom.operators.timestamps import normalize_timestamps
 from logloom.sources.events import START
 from logloom.streaming.ingest import raw_to_points
 
@@ -80,12 +81,17 @@ def hybrid_rank(spark, sf):
     """Hashed vectors of whole texts against the question."""
     docs = embed(_scan(spark, sf, "documents", "doc_id", "text").withColumn("log_hash", F.sha2(F.col("text"), 256)))
     found = search.retrieve(docs, QUESTION, embed_one(QUESTION), 8, id_col="doc_id")
-    return found.select("rank", "doc_id", F.round("rank_score", 6).alias("rank_score"))
+    return found.select("rank", "doc_id", F.round("rank_score", 4).alias("rank_score"))  # vectors are single precision
 
 
 def embed_documents(spark, sf):
+    """Of each document's vector: size, length, how many elements aren't zero, and the first place and sign of the largest."""
     docs = embed(_scan(spark, sf, "documents", "doc_id", "text"))
-    return docs.select("doc_id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+    largest = F.array_max(F.transform("vector", F.abs))
+    place = F.when(largest > 0, F.array_position(F.transform("vector", F.abs), largest) - 1)
+    set_ = F.size(F.filter("vector", lambda x: x != 0))
+    norm = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3)
+    return docs.select("doc_id", F.size("vector").alias("dims"), norm.alias("norm"), set_.alias("n_set"), place.alias("place"), F.signum(F.try_element_at("vector", (place + 1).cast("int"))).alias("sign"))
 
 
 # ---- filters
@@ -213,8 +219,10 @@ def normalize_lines(spark, sf):
 
 
 def _raw_entries(spark, sf):
-    raw = _scan(spark, sf, "raw_logs", "raw_id", "source_id", "source_type", "raw_text", "attributes")
-    return raw.select("raw_id", "source_id", "source_type", "raw_text", F.lit(NOW).alias("ingested_at_utc"), "attributes")
+    """raw_logs with its times of ingestion as instants; NOW where the text denotes none."""
+    raw = _scan(spark, sf, "raw_logs", "raw_id", "source_id", "source_type", "raw_text", "ingested_at_utc", "attributes")
+    timed = normalize_timestamps(raw, _read(spark, sf, "sources"), "ingested_at_utc")
+    return timed.select("raw_id", "source_id", "source_type", "raw_text", F.coalesce(F.timestamp_micros("utc_us"), F.lit(NOW)).alias("ingested_at_utc"), "attributes")
 
 
 def parse_raw_logs(spark, sf):
@@ -230,7 +238,8 @@ def ingest_raw_logs(spark, sf):
 
 def chunk_log_entries(spark, sf):
     """Rendered, cut and redacted entries of the normalised table."""
-    e = _read(spark, sf, "log_entries").withColumn("timestamp_utc", F.lit(NOW))
+    timed = normalize_timestamps(_read(spark, sf, "log_entries"), _read(spark, sf, "sources"), "timestamp_utc", "load_day")
+    e = timed.withColumn("timestamp_utc", F.coalesce(F.timestamp_micros("utc_us"), F.lit(NOW)))
     return chunk.chunk(e, 16, 4).select("chunk_id", "chunk_index", "text")
 
 
@@ -262,9 +271,9 @@ def ingest_counts(spark, sf):
 # ---- sessions: threads of documents
 
 
-def _messages(spark, sf, content="text"):
+def _messages(spark, sf):
     docs = _read(spark, sf, "documents").filter(F.col("thread_key").isNotNull())
-    return docs.select(F.col("thread_key").alias("session_id"), F.col("doc_id").alias("seq"), F.coalesce("source", F.lit("user")).alias("role"), F.coalesce(content, F.lit("")).alias("content"))
+    return docs.select(F.col("thread_key").alias("session_id"), F.col("doc_id").alias("seq"), F.coalesce("source", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 def session_history(spark, sf):
@@ -272,18 +281,13 @@ def session_history(spark, sf):
 
 
 def prompt_history(spark, sf):
-    """As its SQL has it: the first 40 characters of each message; prompt_history_whole has all."""
-    return chat.prompt_history(_messages(spark, sf, F.substring("text", 1, 40)), 8)
-
-
-def prompt_history_whole(spark, sf):
     return chat.prompt_history(_messages(spark, sf), 8)
 
 
 def _retrieved(spark, sf):
     """The chunks for the question, as retrieve_chunks finds them."""
-    chunks = _read(spark, sf, "log_chunks").select("chunk_id", "trace_id", "source_id", "source_type")
-    points = _chunk_points(spark, sf).join(chunks, "chunk_id").withColumn("timestamp_utc", F.lit(NOW))
+    chunks = _read(spark, sf, "log_chunks").select("chunk_id", "trace_id", "source_id", "source_type", F.coalesce(F.col("load_day").cast("timestamp"), F.lit(NOW)).alias("timestamp_utc"))
+    points = _chunk_points(spark, sf).join(chunks, "chunk_id")
     first = _usable_vector(spark, sf)
     vector = list(first[0]) if first else [0.0]
     return search.retrieve(points, QUESTION, vector, 8, QueryFilter(severity="info"), id_col="point_no")
@@ -301,7 +305,7 @@ _ALL = (
     vector_topk, vector_topk_filtered, retrieve_dedup_rerank, retrieve_chunks, hybrid_rank, embed_documents, metadata_filter, severity_filter_unfolded,
     time_range, noise_filter, event_start, lexical_overlap, severity_fold, timestamp_text, event_hash, point_id, chunk_documents, csv_parse, json_parse,
     kv_parse, ts_prefix_parse, regex_rule_parse, payload_residual, normalize_lines, parse_raw_logs, ingest_raw_logs, chunk_log_entries, retention,
-    upsert_latest, dedup_exact, ingest_counts, session_history, prompt_history, prompt_history_whole, context_build, citations,
+    upsert_latest, dedup_exact, ingest_counts, session_history, prompt_history, context_build, citations,
 )
 
 
@@ -321,6 +325,8 @@ def _overlap(x: str) -> str:
     return f"(len(list_filter({words}, lambda w: contains(lower({x}), w))) / 6.0)"
 
 
+#: The time of a chunk as text: its load_day, or NOW.
+ISO = "strftime(coalesce(load_day, DATE '2026-05-01'), '%Y-%m-%dT00:00:00.0000000+00:00')"
 _LINES = "FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL"
 _REDACT_SQL = (
     r"regexp_replace({}, 'eyJ[A-Za-z0-9_-]{{10,}}\.eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]+', '[REDACTED_JWT]', 'g')",
@@ -338,17 +344,34 @@ def _redact_sql(name: str) -> str:
     return f"SELECT doc_id, {x} AS text FROM documents"
 
 
-def oracle_sql() -> dict[str, str]:
-    cosine = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)))"
-    iso = "'2026-05-01T00:00:00.0000000+00:00'"
-    retrieved = f"""
+def retrieved_sql() -> str:
+    """The chunks that retrieve_chunks finds, as ``ranked``."""
+    return f"""
             WITH p AS MATERIALIZED (SELECT point_no, chunk_id, vector::DOUBLE[] AS v FROM vector_points WHERE len(vector) = 128 AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x) OR isinf(x)))),
             u AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS n FROM p), w AS MATERIALIZED (SELECT * FROM u WHERE n > 0),
             q AS MATERIALIZED (SELECT v AS qv, n AS qn FROM w ORDER BY point_no LIMIT 1),
             found AS (SELECT w.point_no, c.*, list_dot_product(v, qv) / (sqrt(n) * sqrt(qn)) AS score FROM w JOIN log_chunks c ON w.chunk_id = c.chunk_id, q WHERE severity = 'INFO' ORDER BY score DESC, point_no LIMIT 24),
             best AS (SELECT *, 0.85 * score + 0.15 * {_overlap("coalesce(text, '')")} AS s FROM found QUALIFY row_number() OVER (PARTITION BY log_hash ORDER BY score DESC, point_no) = 1),
             ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY s DESC, score DESC, point_no) AS INTEGER) AS rank FROM best QUALIFY rank <= 8)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    cosine = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)))"
+    iso, retrieved = ISO, retrieved_sql()
+    place = "CAST((('0x' || md5(w)[1:16])::UBIGINT // 2) % 768 AS INTEGER)"
+    sign = "CASE WHEN ('0x' || md5(w)[1:16])::UBIGINT % 2 = 1 THEN 1 ELSE -1 END"
+    hashed = rf"""
+            WITH d AS (SELECT doc_id, text, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents),
+            v AS (SELECT doc_id, {place} AS place, sum({sign}) AS x FROM d GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n, count(*) FILTER (WHERE x <> 0) AS n_set FROM v GROUP BY doc_id)"""
     return {
+        "embed_documents": f"""{hashed}, top AS (SELECT doc_id, place, x FROM v WHERE x <> 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY abs(x) DESC, place) = 1)
+            SELECT doc_id, 768 AS dims, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS norm, CAST(coalesce(n_set, 0) AS INTEGER) AS n_set, place, CAST(sign(x) AS DOUBLE) AS sign
+            FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN top USING (doc_id)""",
+        "hybrid_rank": f"""{hashed}, q AS (SELECT unnest(string_split('{QUESTION}', ' ')) AS w), qv AS (SELECT {place} AS place, sum({sign}) AS y FROM q GROUP BY ALL),
+            s AS (SELECT doc_id, sum(x * y) / (any_value(n) * (SELECT sqrt(sum(y * y)) FROM qv)) AS score FROM v JOIN n USING (doc_id) LEFT JOIN qv USING (place) WHERE n > 0 GROUP BY doc_id),
+            found AS (SELECT doc_id, text, coalesce(score, 0) AS score FROM s JOIN documents USING (doc_id) ORDER BY coalesce(score, 0) DESC, doc_id LIMIT 24),
+            best AS (SELECT *, 0.85 * score + 0.15 * {_overlap("coalesce(text, '')")} AS s FROM found QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, doc_id) = 1)
+            SELECT CAST(row_number() OVER (ORDER BY s DESC, score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(s, 4) AS rank_score FROM best QUALIFY rank <= 8""",
         "vector_topk": f"SELECT vec_id, round({cosine}, 6) AS score FROM embeddings ORDER BY {cosine} DESC, vec_id LIMIT 10",
         "vector_topk_filtered": f"""SELECT vec_id, label, round({cosine}, 6) AS score FROM embeddings
             WHERE label = (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY {cosine} DESC, vec_id LIMIT 10""",
@@ -387,10 +410,6 @@ def oracle_sql() -> dict[str, str]:
         "ingest_counts": "SELECT count(*) AS read, count(*) FILTER (WHERE NOT coalesce(regexp_matches(raw_text, '(?i)callback was throttled'), false)) AS kept FROM raw_logs",
         "session_history": "SELECT thread_key AS session_id, doc_id AS seq, coalesce(source, 'user') AS role FROM documents WHERE thread_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY thread_key ORDER BY doc_id DESC) <= 32",
         "prompt_history": """
-            WITH m AS (SELECT thread_key AS session_id, doc_id, '[' || upper(coalesce(source, 'user')) || '] ' || coalesce(substring(text, 1, 40), '') AS line FROM documents
-              WHERE thread_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY thread_key ORDER BY doc_id DESC) <= 8)
-            SELECT session_id, trim(string_agg(line, chr(10) ORDER BY doc_id), ' ') AS history FROM m GROUP BY session_id""",
-        "prompt_history_whole": """
             WITH m AS (SELECT thread_key AS session_id, doc_id, '[' || upper(coalesce(source, 'user')) || '] ' || coalesce(text, '') AS line FROM documents
               WHERE thread_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY thread_key ORDER BY doc_id DESC) <= 8)
             SELECT session_id, trim(string_agg(line, chr(10) ORDER BY doc_id), ' ') AS history FROM m GROUP BY session_id""",

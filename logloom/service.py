@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, replace
 from datetime import datetime, timezone
@@ -12,12 +13,12 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.config import ChatOptions, EmbeddingOptions, IngestOptions, LogSource, Options, RegexRule, SchedulerOptions, SearchOptions
-from logloom.operators import chat
+from logloom.config import ChatOptions, EmbeddingOptions, IngestOptions, LogSource, Options, RegexRule, SchedulerOptions, SearchOptions, StoreOptions
+from logloom.operators import chat, remote
 from logloom.operators.embed import Embedder, embed_one
 from logloom.operators.search import QueryFilter, retrieve, with_defaults
 from logloom.sources.store import PointStore
-from logloom.streaming.ingest import health, point_store, respond, run_ingest
+from logloom.streaming.ingest import Scheduler, health, point_store, respond, run_ingest
 
 log = logging.getLogger(__name__)
 
@@ -25,7 +26,7 @@ log = logging.getLogger(__name__)
 def load_options(text: str) -> Options:
     """Options from JSON with sections named as in Options; what isn't given keeps its default. Unknown names raise."""
     given = json.loads(text)
-    sections = {"ingest": IngestOptions, "scheduler": SchedulerOptions, "embedding": EmbeddingOptions, "search": SearchOptions, "chat": ChatOptions}
+    sections = {"ingest": IngestOptions, "scheduler": SchedulerOptions, "embedding": EmbeddingOptions, "store": StoreOptions, "search": SearchOptions, "chat": ChatOptions}
     if unknown := set(given) - {"sources", *sections}:
         raise ValueError(f"unknown sections: {sorted(unknown)}")
     out = Options(sources=tuple(LogSource(**s) for s in given.get("sources", ())))
@@ -65,17 +66,29 @@ class ChatRequest:
 
 
 class Service:
-    """One store, its sources and its sessions."""
-
-    def __init__(self, spark: SparkSession, options: Options, store: PointStore | str, sessions: chat.Sessions | None = None, factory: Callable[[], Embedder] | None = None, generate: chat.Generator = chat.extractive, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
-        self.spark, self.options, self.factory, self.generate, self.clock = spark, options, factory, generate, clock
-        self.store = point_store(spark, store) if isinstance(store, str) else store
+    """One store, its sources and its sessions. ``store``: a table, or the folder below which the configured collection lies. Embedder and
+    generator are those given, else those of the configured servers, else the built-in ones."""
+
+    def __init__(self, spark: SparkSession, options: Options, store: PointStore | str, sessions: chat.Sessions | None = None, factory: Callable[[], Embedder] | None = None, generate: chat.Generator | None = None, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
+        self.spark, self.options, self.clock = spark, options, clock
+        self.factory = factory or remote.embedder(options.embedding)
+        self.generate = generate or remote.generator(options.chat) or chat.extractive
+        self.store = point_store(spark, os.path.join(store, options.store.collection)) if isinstance(store, str) else store
         self.sessions = sessions or chat.Sessions(options.chat)
 
     def ingest(self) -> tuple[int, dict]:
         """Status and counts of one run."""
         return respond(lambda: run_ingest(self.spark, self.store, self.options, self.clock(), self.factory))
 
+    def schedule(self) -> Scheduler:
+        """A schedule of ingest runs, after each of which the store is maintained apart; call start on it."""
+
+        def run() -> None:
+            status, counts = self.ingest()
+            log.log(logging.INFO if status == 200 else logging.ERROR, "ingest: %s", counts)
+
+        return Scheduler(run, self.options, self.store.maintain)
+
     def retrieve(self, request: ChatRequest) -> DataFrame:
         vector = embed_one(request.question, self.factory, self.options.embedding.dims)
         found = retrieve(self.store.read(), request.question, vector, request.top_k, request.filter, self.options.search)

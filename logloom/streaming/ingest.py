@@ -40,17 +40,41 @@ def _kept(raw: DataFrame, options: Options) -> DataFrame:
 def _to_points(kept: DataFrame, options: Options, factory: Callable[[], Embedder] | None) -> DataFrame:
     o = options.ingest
     chunks = chunk(normalize(parse(kept.filter(~is_blank(F.col("raw_text"))), o.rules)), o.chunk_tokens, o.overlap_tokens)
-    return to_points(chunks, factory, options.embedding.batch_size, options.embedding.dims)
+    return to_points(chunks, factory, options.embedding.batch_size, options.embedding.dims, options.embedding.parallel_batches, o.processing_batch_size)
+
+
+def _distinct(raw: DataFrame) -> DataFrame:
+    """One of each source's equal texts, the first by time of ingestion, with ``_copies``. They would be one point, so none is embedded
+    twice; texts are counted before they are shuffled."""
+    rest = [c for c in raw.columns if c not in ("source_id", "raw_text")]
+    one = F.min_by(F.struct(*rest), "ingested_at_utc").alias("_rest")
+    return raw.groupBy("source_id", "raw_text").agg(one, F.count("*").alias("_copies")).select("source_id", "raw_text", "_rest.*", "_copies")
+
+
+def _seen(observation: Observation) -> int:
+    """What was counted; 0 where nothing came that far, as empty parts of a plan are left out when it runs."""
+    try:
+        return observation.get["n"]
+    except Exception:
+        return 0
 
 
 def _ingest(raw: DataFrame, store: PointStore, options: Options, now: datetime, factory) -> dict[str, int]:
-    """Writes the points of ``raw``; then retention, unless there were none. Counts as the data passes."""
+    """Writes the points of ``raw``; then retention, unless there were none. Counts as the data passes, copies included."""
     read, left, made = Observation(), Observation(), Observation()
     n = F.count(F.lit(1)).alias("n")
     kept = _kept(raw.observe(read, n), options).observe(left, n)
-    store.upsert(_to_points(kept, options, factory).observe(made, n))
-    log.info("%d entries dropped as noise", read.get["n"] - left.get["n"])
-    counts = {"raw_logs_read": read.get["n"], "chunks_created": made.get["n"], "vectors_upserted": made.get["n"]}
+    once = _distinct(kept.select(*schemas.names(schemas.RAW)))
+    # The copies ride along in the attributes, which no later stage reads.
+    counted = once.withColumn("attributes", F.create_map(F.lit("copies"), F.col("_copies").cast("string"))).drop("_copies")
+    o = options.ingest
+    entries = normalize(parse(counted.filter(~is_blank(F.col("raw_text"))), o.rules), keep=("attributes",))
+    chunks = chunk(entries, o.chunk_tokens, o.overlap_tokens, keep=("attributes",))
+    made_chunks = chunks.observe(made, F.coalesce(F.sum(F.col("attributes")["copies"].cast("bigint")), F.lit(0)).alias("n")).drop("attributes")
+    e = options.embedding
+    store.upsert(to_points(made_chunks, factory, e.batch_size, e.dims, e.parallel_batches, o.processing_batch_size), distinct=True)
+    log.info("%d entries dropped as noise", _seen(read) - _seen(left))
+    counts = {"raw_logs_read": _seen(read), "chunks_created": _seen(made), "vectors_upserted": _seen(made)}
     if counts["chunks_created"]:
         store.delete_before(now - timedelta(days=options.ingest.retention_days))
     return counts
@@ -97,10 +121,12 @@ def respond(run: Callable[[], DataFrame]) -> tuple[int, dict]:
 
 
 class Scheduler:
-    """Calls ``run`` on a schedule; a call is left out while another is at work, and errors are logged only."""
+    """Calls ``run`` on a schedule; a call is left out while another is at work, and errors are logged only. After a run
+    ``maintain``, if given, goes on in a thread of its own, one at a time."""
 
-    def __init__(self, run: Callable[[], object], options: Options):
-        self.run, self.options = run, options.scheduler
+    def __init__(self, run: Callable[[], object], options: Options, maintain: Callable[[], object] | None = None):
+        self.run, self.options, self.maintain = run, options.scheduler, maintain
+        self._upkeep = threading.Lock()
         self._busy, self._stop = threading.Lock(), threading.Event()
         self._threads: list[threading.Thread] = []
 
@@ -114,8 +140,18 @@ class Scheduler:
             log.exception("ingestion failed")
         finally:
             self._busy.release()
+        if self.maintain and self._upkeep.acquire(blocking=False):
+            threading.Thread(target=self._maintain, daemon=True).start()
         return True
 
+    def _maintain(self) -> None:
+        try:
+            self.maintain()
+        except Exception:
+            log.exception("maintenance failed")
+        finally:
+            self._upkeep.release()
+
     def start(self) -> None:
         o = self.options
         if o.run_on_start:

@@ -122,5 +122,5 @@ def test_whole_messages_in_the_history(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").filter("thread_key is not null").select("thread_key", "doc_id", "source", "text").collect():
         threads.setdefault(r["thread_key"], []).append((r["doc_id"], f"[{(r['source'] or 'user').upper()}] {r['text'] or ''}"))
     want = {t: "\n".join(x for _, x in sorted(lines)[-8:]).strip(" ") for t, lines in threads.items()}
-    got = {r["session_id"]: r["history"] for r in queries["prompt_history_whole"](spark, sf).collect()}
+    got = {r["session_id"]: r["history"] for r in queries["prompt_history"](spark, sf).collect()}
     assert got == want and max(map(len, got.values())) > 8 * 60

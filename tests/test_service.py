@@ -6,7 +6,10 @@ from datetime import datetime, timezone
 
 import pytest
 
-from logloom.config import IngestOptions, LogSource, Options
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+from logloom.config import ChatOptions, EmbeddingOptions, IngestOptions, LogSource, Options
+from logloom.operators import embed, remote
 from logloom.operators.chat import read_frames
 from logloom.service import ChatRequest, Service, load_options
 
@@ -55,3 +58,51 @@ def test_ingest_and_chat_over_http(spark, tmp_path):
             assert e.value.code == status
     finally:
         server.shutdown()
+
+
+def test_servers_that_embed_and_answer(spark):
+    """A server of one's own: vectors of the texts' lengths, an answer that repeats the last line of the prompt's context."""
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, body))
+            if self.path == "/api/embed":
+                out = json.dumps({"embeddings": [[float(len(t)), 1.0] for t in body["input"] if t != "lost"]})
+            else:
+                out = "\n".join(json.dumps({"response": t}) for t in ("one", "", " two")) + "\n\n"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}/"
+    try:
+        factory = remote.embedder(EmbeddingOptions(url=url, model="m"))
+        df = spark.createDataFrame([(k, "x" * k) for k in range(50)], "id int, text string")
+        got = embed.embed(df, factory=factory, batch_size=4, in_flight=3, at_once=10).collect()
+        assert all(r["vector"] == [float(r["id"]), 1.0] for r in got) and all(b["model"] == "m" and len(b["input"]) <= 4 for _, b in seen)
+        with pytest.raises(ValueError, match="vectors for"):
+            factory()(["lost", "x"])
+        assert factory()([]) == []
+        answer = remote.generator(ChatOptions(url=url, model="g"))
+        assert list(answer("why?", "the entries", "[USER] before")) == ["one", " two"]
+        prompt = seen[-1][1]["prompt"]
+        assert seen[-1][0] == "/api/generate" and prompt.index("[USER] before") < prompt.index("the entries") < prompt.index("why?")
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(OSError):
+        factory()(["x"])
+    assert remote.embedder(EmbeddingOptions()) is None and remote.generator(ChatOptions()) is None
+
+
+def test_distance_and_collection():
+    assert load_options('{"store": {"collection": "c", "distance": "cosine"}, "embedding": {"url": "http://x", "model": "m"}}').store.collection == "c"
+    with pytest.raises(ValueError):
+        load_options('{"store": {"distance": "Dot"}}')

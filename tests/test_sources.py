@@ -1,3 +1,4 @@
+import threading
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -88,10 +89,83 @@ def test_store(spark, tmp_path):
     assert read() == [("a", 1), ("c", 1), ("d", 1)]
     store.compact()
     assert read() == [("a", 1), ("c", 1), ("d", 1)] and len(store._segments()) == 1
-    store.COMPACT_AT = 2
+    store.GRACE = 0.0
     for k in range(3):
         store.upsert(rows(spark, ("a", AT, 10 + k)))
-    assert ("a", 12) in read() and len(store._segments()) <= 3
+    assert ("a", 12) in read() and store.maintain() == 1 and ("a", 12) in read() and len(store._segments()) <= 3
+    assert len([d for d in (tmp_path / "t").iterdir() if d.is_dir()]) == len(store._segments()) and len(store._numbers()) == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    stores = [PointStore(spark, str(tmp_path / "t"), STORE) for _ in range(2)]
+    stores[0].ensure()
+    errors = []
+
+    def write(which):
+        try:
+            for k in range(4):
+                stores[which].upsert(rows(spark, (f"w{which}-{k}", AT, k), ("both", AT, 10 * which + k)))
+                if k == 2:
+                    stores[which].maintain()
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(w,)) for w in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    got = {r["point_id"] for r in stores[0].read().collect()}
+    assert got == {"both", *(f"w{w}-{k}" for w in range(2) for k in range(4))} and stores[1].read().count() == 9
+
+
+def test_no_points_change_nothing(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "t"), STORE)
+    store.upsert(rows(spark).limit(0))
+    assert not store._segments() and store._numbers() == [0] and store.read().count() == 0
+
+
+def test_merging_a_tier_brings_nothing_back(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "t"), STORE)
+    store.upsert(rows(spark, ("a", AT, 1), *((f"x{k}", AT, k) for k in range(2000))))
+    store.upsert(rows(spark, ("a", AT - timedelta(days=40), 2)))
+    for k in range(3):
+        store.upsert(rows(spark, (f"y{k}", AT, k)))
+    store.delete_before(AT - timedelta(days=1))
+    store.GROWTH = 1.5  # the first segment is too large to be merged
+    assert store.maintain() == 1 and len(store._segments()) == 2
+    assert store.read().filter("point_id = 'a'").count() == 0 and store.read().count() == 2003
+    assert store.compact() and store.read().count() == 2003 and len(store._segments()) == 1
+
+
+def test_filters_reach_every_segment(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "t"), STORE)
+    for k in range(3):
+        store.upsert(rows(spark, (f"a{k}", AT, k)))
+    plan = store.read().filter("v = 2")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    points = [line for line in scans if "v#" in line]
+    assert len(points) == 3 and all("EqualTo(v,2)" in line for line in points), plan
+    assert all("ReadSchema: struct<point_id:string>" in line for line in scans if line not in points)
+
+
+def test_equal_texts_are_embedded_once(spark, tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("2026-05-19 18:13:07 same\n" * 5 + "2026-05-19 18:13:08 other\n")
+    seen = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def embed(texts):
+            seen.add(len(texts))
+            return [[1.0, 2.0]] * len(texts)
+
+        return embed
+
+    store = point_store(spark, str(tmp_path / "t"))
+    got = run_ingest(spark, store, options(tmp_path, log), AT, factory).first()
+    assert (got["raw_logs_read"], got["chunks_created"], got["vectors_upserted"]) == (6, 6, 6)
+    assert store.read().count() == 2 and seen.value == 2
 
 
 def options(tmp_path, log):
