@@ -21,7 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_places": tokens.p8_places,
         "p9_mix": mix.p9_mix,
         "p9_shares": mix.p9_shares,
-        "p9_shares_all_tokens": mix.p9_shares_all_tokens,
+        "p9_shares_exact": mix.p9_shares_exact,
+        "p9_leaves": mix.p9_leaves,
         "p10_found": subjects.p10_found,
         "p10_composition": subjects.p10_composition,
     }

@@ -19,6 +19,40 @@ def test_budgets_go_to_siblings_first():
     assert sum(mix.budgets(supply, targets, 1e9).values()) == 100 + 10 + 2000 + 15
 
 
+def test_a_language_that_runs_out_gives_to_its_siblings_only():
+    supply = {("a", "en"): 900, ("a", "de"): 900, ("b", "en"): 900, ("b", "de"): 10}
+    targets = {"a": (0.5, 1), "b": (0.5, 1)}
+    got = mix.budgets(supply, targets, 800)
+    # Of 400 for b the share of de is 400 * 910 / 2710, of which it has 10; en of b takes the rest, a isn't touched.
+    assert got["b", "de"] == 10 and got["b", "en"] == pytest.approx(390)
+    assert got["a", "de"] == pytest.approx(400 * 910 / 2710) and got["a", "en"] + got["a", "de"] == pytest.approx(400)
+    given = mix.budgets(supply, targets, 800, languages={"en": 1.0, "de": 3.0})
+    assert given["a", "de"] == pytest.approx(300) and given["b", "en"] == pytest.approx(390)
+    assert mix.budgets(supply, targets, 800, languages={"en": 1.0}).get(("a", "de"), 0) == 0
+
+
+def test_a_source_that_runs_out_gives_to_its_domain_first():
+    supply = {("a", "en"): 10, ("b", "en"): 1000, ("c", "en"): 1000}
+    targets = {"a": (0.3, 1), "b": (0.2, 1), "c": (0.5, 1)}
+    got = mix.budgets(supply, targets, 100, {"a": "x", "b": "x", "c": "y"})
+    assert got == {("a", "en"): 10, ("b", "en"): pytest.approx(40), ("c", "en"): pytest.approx(50)}
+    flat = mix.budgets(supply, targets, 100)
+    assert flat["c", "en"] == pytest.approx(90 * 5 / 7)
+    more = mix.budgets(supply | {("b", "en"): 20}, targets, 100, {"a": "x", "b": "x", "c": "y"})
+    assert more == {("a", "en"): 10, ("b", "en"): 20, ("c", "en"): pytest.approx(70)}
+
+
+def test_documents_are_not_shuffled_by_leaf(spark, tmp_path):
+    rows = [(k, "big" if k % 3 else "small", "en", 10) for k in range(300)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/docs")
+    targets = spark.createDataFrame([("big", 0.9, 1, "d"), ("small", 0.1, 3, "d")], "source string, target_share double, max_repeats int, domain string")
+    plan = mix.mix(spark.read.parquet(f"{tmp_path}/docs"), targets, 1000)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert "hashpartitioning(source" not in line or "bucket" in line or "language" in line and "before" not in line, line
+    joins = [line for line in plan.splitlines() if "Join" in line and "epochs" not in line]
+    assert any("BroadcastHashJoin [source" in line and "BuildRight" in line for line in joins), plan
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, source string, language string, n_tokens bigint")
 
@@ -48,7 +82,7 @@ def test_sizes(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     got = {r["doc_id"]: (r["language"], r["n_tokens"]) for r in mix.sized(d, targets).collect()}
-    assert got == {1: ("en", 2), 5: ("other", 1)}
+    assert got == {1: ("en", 2), 5: ("fr", 1)}
 
 
 def test_a_poor_source_does_not_cut_the_mix(spark, tmp_path):
