@@ -3,11 +3,14 @@
 An inverted file: coarse centroids (spherical k-means on a bounded sample) give each vector a list, and its residual is
 product-quantised. Every vector is also a query and visits the lists of its nearest centroids; there a table of
 inner products with the codewords ranks the codes (asymmetric distances), and the best are reranked by exact cosines.
-How many lists that is, is measured: the exact nearest of some vectors among all are looked up, and so many lists are
-visited that RECALL of them are met, all lists if it must be.
-
-Lists and the queries that visit them are cut into blocks of bounded size, so a list that holds a third of all
-vectors becomes a grid of tasks. The copies of a vector are each other's nearest, found by its hash alone. Of a vector
+How many lists and codes that is, is measured: the exact nearest of some vectors among all are looked up, so many lists are
+visited that RECALL of them are met, all lists if it must be, and so large a share of a list's codes is reranked that RECALL of them are
+among these. What the search loses is reported by recall(), for
+every vector whose id is divisible by 100, against exact_nearest(), the exact way.
+
+Lists that the sample shows to hold more than OVERSIZE vectors are split by centroids of their own, so their number grows with the
+data, up to the size of the sample. Lists and the queries that visit them are cut into blocks of bounded size, so even a list
+that can't be split becomes a grid of tasks. The copies of a vector are each other's nearest, found by its hash alone. Of a vector
 with many copies only the k + 1 of smallest id can be among the nearest of others and are searched; no vector is
 shuffled but to the lists it is in or visits.
 
@@ -37,13 +40,20 @@ SAMPLE, SAMPLE_A_LIST, SAMPLE_AT_MOST = 20_000, 16, 262_144
 LISTS_AT_MOST = SAMPLE_AT_MOST // SAMPLE_A_LIST
 #: Lists that a query visits at least: this many, more if they are short, to meet about SCAN vectors.
 PROBES, SCAN = 4, 1024
-#: More are visited until this share of the exact nearest of MEASURED vectors lies in them.
+#: More are visited until this share of the exact nearest of MEASURED vectors lies in them, and more codes of a list are reranked until
+#: this share of those is among them.
 RECALL, MEASURED = 0.97, 256
 PARTS, CODES = 16, 256
-#: Codes reranked exactly for each query and block.
+#: Codes reranked exactly for each query and block, at least; where half of a block is, all of it is compared exactly, which is faster.
 RERANK = 64
 #: Vectors of a list in one block, and queries that visit it in one task.
 BLOCK, QUERIES = 4096, 8192
+#: Vectors above which a list is split, and rounds in which that is tried.
+OVERSIZE, SPLITS = 4 * BLOCK, 3
+#: Numbers in one block of products when vectors are compared with all centroids.
+PRODUCTS = 1 << 22
+#: Centroids that are fitted at once; more are fitted in two levels.
+FLAT = 1024
 SEED = 7
 
 
@@ -68,29 +78,66 @@ def nearest(x: np.ndarray, centroids: np.ndarray, spherical: bool) -> tuple[np.n
     """The nearest centroid of each row and how near it is (larger is nearer)."""
     half = 0 if spherical else (centroids**2).sum(axis=1) / 2
     near, score = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
-    for a in range(0, len(x), 8192):
-        s = x[a : a + 8192] @ centroids.T - half
-        near[a : a + 8192] = s.argmax(axis=1)
-        score[a : a + 8192] = s.max(axis=1)
+    step = max(1, PRODUCTS // max(len(centroids), 1))
+    for a in range(0, len(x), step):
+        s = x[a : a + step] @ centroids.T - half
+        near[a : a + step] = s.argmax(axis=1)
+        score[a : a + step] = s.max(axis=1)
     return near, score
 
 
+def coarse(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k spherical centroids; many are fitted within the clusters of some first ones, by their sizes."""
+    if k <= FLAT:
+        return kmeans(x, k, 10, True, rng)
+    first = kmeans(x, math.isqrt(k), 10, True, rng)
+    near, _ = nearest(x, first, True)
+    sizes = np.bincount(near, minlength=len(first))
+    parts = np.minimum(np.maximum(1, np.rint(sizes * k / len(x)).astype(np.int64)), np.maximum(sizes, 1))
+    return np.concatenate([kmeans(x[near == c], int(parts[c]), 10, True, rng) if sizes[c] else first[c : c + 1] for c in range(len(first))])
+
+
 class Index:
     """Coarse centroids and the codebooks of the residuals."""
 
-    def __init__(self, sample: np.ndarray, lists: int, probes: int):
+    def __init__(self, sample: np.ndarray, lists: int, n: int):
         rng = np.random.default_rng(SEED)
-        self.probes = probes
-        self.centroids = kmeans(sample, lists, 10, True, rng)
+        self.centroids = coarse(sample, lists, rng)
         near, _ = nearest(sample, self.centroids, True)
+        for _ in range(SPLITS):
+            members = np.bincount(near, minlength=len(self.centroids))
+            sizes = members * (n / len(sample))
+            over = np.flatnonzero((sizes > OVERSIZE) & (members > 1))
+            if not len(over):
+                break
+            split = [kmeans(sample[near == c], int(min(members[c], math.ceil(sizes[c] / BLOCK))), 10, True, rng) for c in over]
+            self.centroids = np.ascontiguousarray(np.concatenate([np.delete(self.centroids, over, axis=0), *split]), np.float32)
+            near, _ = nearest(sample, self.centroids, True)
+        self.probes = min(len(self.centroids), max(PROBES, math.ceil(SCAN * len(self.centroids) / n)))
         residuals = sample - self.centroids[near]
         self.parts = next(p for p in range(min(PARTS, sample.shape[1]), 0, -1) if sample.shape[1] % p == 0)
         codes = min(CODES, len(sample))
         blocks = residuals.reshape(len(sample), self.parts, -1)
         self.codebooks = np.stack([kmeans(np.ascontiguousarray(blocks[:, p]), codes, 8, False, rng) for p in range(self.parts)])
+        self.share = 0.0  # of a block's codes that are reranked
+
+    def codes_of(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """The codes of the residuals in the given lists."""
+        residuals = (x - self.centroids[lists]).reshape(len(x), self.parts, -1)
+        return np.stack([nearest(np.ascontiguousarray(residuals[:, p]), self.codebooks[p], False)[0] for p in range(self.parts)], axis=1).astype(np.uint8)
+
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each part the products of each query with the codewords."""
+        split = queries.reshape(len(queries), self.parts, -1)
+        return [split[:, p] @ self.codebooks[p].T for p in range(self.parts)]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists each vector visits, nearest first, and the code of its residual in the first."""
+        step = max(1, PRODUCTS // len(self.centroids))
+        parts = [self._assign(x[a : a + step]) for a in range(0, len(x), step)]
+        return np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts])
+
+    def _assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         scores = x @ self.centroids.T
         if self.probes < scores.shape[1]:
             visits = np.argpartition(-scores, self.probes - 1, axis=1)[:, : self.probes]
@@ -98,23 +145,19 @@ class Index:
             visits = np.broadcast_to(np.arange(scores.shape[1]), scores.shape).copy()
         order = np.argsort(-np.take_along_axis(scores, visits, axis=1), axis=1, kind="stable")
         visits = np.take_along_axis(visits, order, axis=1)
-        residuals = (x - self.centroids[visits[:, 0]]).reshape(len(x), self.parts, -1)
-        codes = np.stack([nearest(np.ascontiguousarray(residuals[:, p]), self.codebooks[p], False)[0] for p in range(self.parts)], axis=1)
-        return visits.astype(np.int32), codes.astype(np.uint8)
+        return visits.astype(np.int32), self.codes_of(x, visits[:, 0])
 
     def search(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, neighbour, cosine) of the k nearest in one block of a list, for each query."""
         out = []
         step = max(1, (1 << 22) // max(len(ids), self.parts * self.codebooks.shape[1]))
-        keep = min(len(ids), max(RERANK, 8 * k))
+        keep = min(len(ids), max(RERANK, 8 * k, math.ceil(self.share * len(ids))))
         for a in range(0, len(queries), step):
             q, q_ids = queries[a : a + step], query_ids[a : a + step]
-            if keep < len(ids):
-                split = q.reshape(len(q), self.parts, -1)
+            if 2 * keep < len(ids):
                 # The centroid's share of the product is the same for the whole list and changes no order.
                 approx = np.zeros((len(q), len(ids)), np.float32)
-                for p in range(self.parts):
-                    table = split[:, p] @ self.codebooks[p].T
+                for p, table in enumerate(self.tables(q)):
                     approx += table[:, codes[:, p]]
                 short = np.argpartition(-approx, keep - 1, axis=1)[:, :keep]
                 exact = np.empty(short.shape, np.float32)
@@ -164,54 +207,93 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-_EXACT = "query int, point bigint, cosine float, list int"
+_EXACT = "query int, point bigint, cosine float, unit binary"
 
 
 def _exact(shared, k: int):
-    """The k nearest in a split of each measured vector, without its copies, and the lists they are in."""
+    """The k nearest in a split of each of some queries. Vectors whose key (their hash, or their id) is the query's don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, sames, q = shared.value
-        rows_of = {s: np.flatnonzero([s == t for t in sames]) for s in sames}
+        by_hash, keys, q = shared.value
+        rows_of: dict = {}
+        for row, key in enumerate(keys):
+            rows_of.setdefault(key, []).append(row)
         points, cosines = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf, np.float32)
         units = np.zeros((len(q), k, q.shape[1]), np.float32)
+        step = max(1, PRODUCTS // len(q))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, same, x = batch.column(0).to_numpy(), batch.column(1).to_pylist(), _matrix(batch.column(2))
-            for a in range(0, len(ids), 4096):
-                part = x[a : a + 4096]
+            ids, own, x = batch.column(0).to_numpy(), batch.column(1 if by_hash else 0).to_pylist(), _matrix(batch.column(2))
+            for a in range(0, len(ids), step):
+                part = x[a : a + step]
                 scores = q @ part.T
-                for c, s in enumerate(same[a : a + 4096]):
-                    if s in rows_of:
-                        scores[rows_of[s], c] = -np.inf
+                for c, key in enumerate(own[a : a + step]):
+                    if key in rows_of:
+                        scores[rows_of[key], c] = -np.inf
                 keep = min(k, len(part))
                 top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
                 both = np.concatenate([cosines, np.take_along_axis(scores, top, axis=1)], axis=1)
                 order = np.argsort(-both, axis=1, kind="stable")[:, :k]
                 cosines = np.take_along_axis(both, order, axis=1)
-                points = np.take_along_axis(np.concatenate([points, ids[a : a + 4096][top]], axis=1), order, axis=1)
+                points = np.take_along_axis(np.concatenate([points, ids[a : a + step][top]], axis=1), order, axis=1)
                 units = np.take_along_axis(np.concatenate([units, part[top]], axis=1), order[:, :, None], axis=1)
         ok = np.isfinite(cosines)
-        lists, _ = nearest(units[ok], centroids, True)
-        columns = [pa.array(np.nonzero(ok)[0].astype(np.int32)), pa.array(points[ok]), pa.array(cosines[ok]), pa.array(lists.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["query", "point", "cosine", "list"])
+        columns = [pa.array(np.nonzero(ok)[0].astype(np.int32)), pa.array(points[ok]), pa.array(cosines[ok]), pa.array([u.tobytes() for u in units[ok]], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _EXACT.split(", ")])
 
     return run
 
 
-def probes_for(vectors: DataFrame, index: Index, sames: list[bytes], queries: np.ndarray, k: int) -> int:
-    """How many lists the given vectors must visit to meet RECALL of their exact k nearest among all vectors."""
-    shared = vectors.sparkSession.sparkContext.broadcast((index.centroids, sames, queries))
+def _nearest_to(vectors: DataFrame, keys: list, queries: np.ndarray, k: int, by_hash: bool) -> DataFrame:
+    """query (its row), point, cosine, unit: the exact k nearest of each given vector; one pass over all."""
+    shared = vectors.sparkSession.sparkContext.broadcast((by_hash, keys, queries))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "point"))
-    split = vectors.select("point", "same", "unit").mapInArrow(_exact(shared, k), _EXACT).distinct()
-    found = split.withColumn("r", rank).filter(F.col("r") <= k).select("query", "list").toPandas()  # k rows a measured vector
-    if found.empty:
-        return 1
+    split = vectors.select("point", "same", "unit").mapInArrow(_exact(shared, k), _EXACT).dropDuplicates(["query", "point"])
+    return split.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
+
+
+def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> Iterator[DataFrame]:
+    """point, other, cosine of the exact k nearest of each query, a frame for each block of QUERIES of them. Both as usable() gives
+    them. Blocks are by hash; each is a bounded broadcast and one pass over all vectors."""
+    blocks = max(1, math.ceil(queries.count() / (QUERIES // 2)))
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("point"), F.lit(blocks)))
+    for block in range(blocks):
+        own = numbered.filter(F.col("_block") == block).select("point", "unit").orderBy("point").toArrow()
+        if not own.num_rows:
+            continue
+        ids = own.column("point").to_pylist()
+        found = _nearest_to(vectors, ids, _matrix(own.column("unit").combine_chunks()), k, False)
+        rows = F.broadcast(vectors.sparkSession.createDataFrame(list(enumerate(ids)), "query int, id bigint"))
+        yield found.join(rows, "query").select(F.col("id").alias("point"), F.col("point").alias("other"), "cosine")
+
+
+def tune(vectors: DataFrame, index: Index, sample: np.ndarray, sames: list[bytes], rows: np.ndarray, k: int) -> None:
+    """Sets how many lists are visited and what share of their codes is reranked, by the exact k nearest among all vectors of
+    the given rows of the sample."""
+    queries = sample[rows]
+    found = _nearest_to(vectors, sames, queries, k, True).select("query", "unit").toArrow()  # k rows a measured vector
+    row = found.column("query").to_numpy()
+    if not len(row):
+        return
+    units = _matrix(found.column("unit").combine_chunks())
+    lists, _ = nearest(units, index.centroids, True)
     scores = queries @ index.centroids.T
-    own = scores[found["query"].to_numpy(), found["list"].to_numpy()]
-    ranks = np.sort((scores[found["query"].to_numpy()] > own[:, None]).sum(axis=1))
-    return int(ranks[math.ceil(RECALL * len(ranks)) - 1]) + 1
+    ranks = np.concatenate([(scores[row[a : a + 64]] > scores[row[a : a + 64], lists[a : a + 64]][:, None]).sum(axis=1) for a in range(0, len(row), 64)])
+    quantile = math.ceil(RECALL * len(ranks)) - 1
+    index.probes = max(index.probes, int(np.sort(ranks)[quantile]) + 1)
+    # Where the code of each of the nearest stands among those of the sample in its list.
+    own, _ = nearest(sample, index.centroids, True)
+    order = np.argsort(own, kind="stable")
+    ends = np.cumsum(np.bincount(own, minlength=len(index.centroids)))
+    tables, codes = index.tables(queries), index.codes_of(units, lists)
+    shares = np.empty(len(row))
+    for r, (q, at) in enumerate(zip(row, lists)):
+        members = order[ends[at - 1] if at else 0 : ends[at]]
+        there = index.codes_of(sample[members], own[members]) if len(members) else np.zeros((0, index.parts), np.uint8)
+        approx = sum(t[q][there[:, p]] for p, t in enumerate(tables))
+        shares[r] = ((approx > sum(t[q][codes[r, p]] for p, t in enumerate(tables))).sum() + 1) / (len(members) + 1)
+    index.share = float(np.sort(shares)[quantile])
 
 
 def fit(vectors: DataFrame, n: int, k: int) -> Index | None:
@@ -219,15 +301,13 @@ def fit(vectors: DataFrame, n: int, k: int) -> Index | None:
     if n == 0:
         return None
     lists = min(LISTS_AT_MOST, 1 << max(0, round(math.log2(math.sqrt(n)))))
-    probes = min(lists, max(PROBES, math.ceil(SCAN * lists / n)))
     size = min(SAMPLE_AT_MOST, max(SAMPLE, SAMPLE_A_LIST * lists))
     most = (1 << 63) - 1 if 1.2 * size >= n else -(1 << 63) + (1 << 64) * 12 * size // (10 * n)  # so that few are sorted
     sample = vectors.withColumn("h", F.xxhash64("same")).filter(F.col("h") <= most).orderBy("h", "point").limit(size).select("same", "unit").toArrow()
     units = _matrix(sample.column(1).combine_chunks())
-    index = Index(units, lists, probes)
-    if probes < lists:  # other vectors than those the centroids began with
-        some = np.random.default_rng(SEED + 1).choice(len(units), min(MEASURED, len(units)), replace=False)
-        index.probes = max(probes, probes_for(vectors, index, sample.column(0).take(pa.array(some)).to_pylist(), units[some], k))
+    index = Index(units, lists, n)
+    some = np.random.default_rng(SEED + 1).choice(len(units), min(MEASURED, len(units)), replace=False)
+    tune(vectors, index, units, sample.column(0).take(pa.array(some)).to_pylist(), some, k)
     return index
 
 
@@ -283,10 +363,10 @@ def nearest_of_all(vectors: DataFrame, n: int, k: int) -> DataFrame:
     fitted = fit(vectors, n, k)
     if fitted is None:
         return spark.createDataFrame([], _NEAR)
-    index = spark.sparkContext.broadcast(fitted)  # at most LISTS_AT_MOST centroids and the codebooks
+    index = spark.sparkContext.broadcast(fitted)  # no more centroids than the sample has vectors, and the codebooks
     # Stored, as it is read three times.
     assigned = materialize(vectors.select("point", "unit").mapInArrow(_assign(index), _ASSIGNED), "assigned")
-    # How many blocks each list has and how many groups of queries visit it; at most LISTS_AT_MOST rows.
+    # How many blocks each list has and how many groups of queries visit it; a row a list.
     visits = assigned.select(F.posexplode("visits").alias("rank", "list"))
     sizes = visits.groupBy("list").agg(F.count("*").alias("q"), F.count_if(F.col("rank") == 0).alias("n")).filter("n > 0")
     grid = F.broadcast(sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("groups")))
@@ -343,3 +423,24 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 nearest of every point, with cosines."""
     return neighbours(_points(spark, sf))
+
+
+def recall(points: DataFrame, k: int = 5, dims: int = 128, every: int = 100) -> DataFrame:
+    """n_queries, n_true, n_found, recall: of the exact k nearest of all vectors whose id is divisible by ``every``, how many
+    neighbours() gives. One row."""
+    units = materialize(usable(points, dims), "units")
+    queries = units.filter(F.col("point") % every == 0).dropDuplicates(["point"])
+    spark = points.sparkSession
+    exact = spark.createDataFrame([], _NEAR)
+    for block in exact_nearest(units, queries, k):
+        exact = exact.unionByName(block)
+    exact = materialize(exact, "exact")
+    found = neighbours(points, k, dims).filter(F.col("point") % every == 0).select("point", "other", F.lit(1).alias("hit"))
+    both = exact.join(found, ["point", "other"], "left")
+    counts = both.agg(F.count_distinct("point").alias("n_queries"), F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+    return counts.withColumn("recall", F.try_divide("n_found", "n_true"))
+
+
+def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What share of the exact 5 nearest p5_neighbours gives, of every point whose number is divisible by 100."""
+    return recall(_points(spark, sf))

@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_records": dedup.p2_records,
         "p5_found": neighbours.p5_found,
         "p5_neighbours": neighbours.p5_neighbours,
+        "p5_recall": neighbours.p5_recall,
         "p6_found": split.p6_found,
         "p6_pieces": split.p6_pieces,
         "p8_ids": tokens.p8_ids,

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logloom.llm import neighbours as nb
@@ -52,6 +53,78 @@ def test_recall_where_neighbours_lie_in_many_lists(spark, monkeypatch):
     assert sum(len(got[i] & w) for i, (w, _) in want.items()) / (5 * len(want)) >= 0.9
 
 
+def table(spark, x):
+    x = np.ascontiguousarray(x, np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+    return spark.createDataFrame(pa.table([pa.array(np.arange(len(x))), lists], ["point_no", "vector"])).repartition(4)
+
+
+def sampled_recall(spark, x, k=5, dims=128):
+    """Of 300 points, the share of the k nearest by brute force that are found."""
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    asked = np.random.default_rng(9).choice(len(x), 300, replace=False)
+    scores = unit[asked] @ unit.T
+    scores[np.arange(len(asked)), asked] = -9
+    want = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    ids = spark.createDataFrame([(int(i),) for i in asked], "point bigint")
+    got = {}
+    for r in nb.neighbours(table(spark, x), k, dims).join(ids, "point").collect():
+        got.setdefault(r["point"], set()).add(r["other"])
+    return sum(len(got[int(i)] & set(map(int, w))) for i, w in zip(asked, want)) / (k * len(asked))
+
+
+def test_recall_on_broad_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 128))
+    x = centres[rng.integers(200, size=60_000)] + 0.6 * rng.normal(size=(60_000, 128))
+    assert sampled_recall(spark, x) >= 0.9
+
+
+def test_recall_on_a_manifold(spark):
+    rng = np.random.default_rng(6)
+    assert sampled_recall(spark, rng.normal(size=(20_000, 16)) @ rng.normal(size=(16, 128)) + 0.01 * rng.normal(size=(20_000, 128))) >= 0.9
+
+
+def test_oversized_lists_are_split(monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 256)
+    monkeypatch.setattr(nb, "OVERSIZE", 1024)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 16))
+    x[:3000] = x[0] + 0.02 * rng.normal(size=(3000, 16))
+    x = np.ascontiguousarray(x / np.linalg.norm(x, axis=1, keepdims=True), np.float32)
+    index = nb.Index(x[::3].copy(), 4, len(x))
+    visits, _ = index.assign(x)
+    assert np.bincount(visits[:, 0]).max() <= 1200 and len(index.centroids) > 4
+    monkeypatch.setattr(nb, "FLAT", 8)
+    assert 24 <= len(nb.coarse(x, 32, rng)) <= 40
+
+
+def test_assign_is_cut_into_small_blocks(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.ascontiguousarray(rng.normal(size=(500, 16)), np.float32)
+    index = nb.Index(x, 16, len(x))
+    whole = index.assign(x)
+    monkeypatch.setattr(nb, "PRODUCTS", 64)
+    parts = index.assign(x)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_recall_is_reported_against_the_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(nb, "QUERIES", 16)
+    x = clustered(2000, 16)
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(5000, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    row = nb.recall(df, 5, 16).first()
+    assert row["n_queries"] == 20 and row["n_true"] == 100 and row["recall"] >= 0.9
+    units = nb.usable(df, 16)
+    exact = {}
+    for block in nb.exact_nearest(units, units.filter("point < 20"), 5):
+        for r in block.collect():
+            exact.setdefault(r["point"], set()).add(r["other"])
+    assert exact == {i: w for i, (w, _) in brute(rows, 5, 16).items() if i < 20}
+    assert nb.recall(df.limit(0), 5, 16).first()["recall"] is None
+
+
 def test_odd_vectors_copies_and_ties(spark):
     x = clustered(60, 8, 1)
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
