@@ -320,7 +320,8 @@ def scheduled_runs(spark, sf):
 
 def _chat_service(spark, sf) -> Service:
     """A service whose retrieval is that of retrieve_chunks."""
-    service = Service(spark, load_options("{}"), _folder(spark, "points"), clock=lambda: NOW)
+    offsets = os.path.join(_folder(spark, "checkpoints"), "offsets.json")
+    service = Service(spark, load_options(json.dumps({"ingest": {"checkpoint_file": offsets}})), _folder(spark, "points"), clock=lambda: NOW)
     found = materialize(retrieval._retrieved(spark, sf), "retrieved")
     service.retrieve = lambda request: found if request.filter.service_name is None else found.limit(0)
     return service
