@@ -385,7 +385,8 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | No
     fitted = docs.sparkSession.createDataFrame([(int(d),) for d in labelled["doc_id"].unique()], "doc_id bigint")
     others = Others(real.join(F.broadcast(fitted), "doc_id", "left_anti"), len(names) + 1)  # labelled ones past the bound too
     own: dict[int, set[str]] = defaultdict(set)
-    for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(FIT_LABELLED * max(len(names), 1)).collect():
+    # Only labels of the documents that are fitted on, so that none is pushed out by those of unknown documents.
+    for r in usable.join(F.broadcast(fitted), "doc_id", "left_semi").filter(F.col("subject").isin(*names)).collect():
         own[r["doc_id"]].add(r["subject"])
     rows = [tuple(r) for r in labelled.astype(object).where(labelled.notna(), None).itertuples(index=False)]
     return fit(rows, own, names, others)
