@@ -3,7 +3,8 @@
 For each text the byte offsets of its characters are a prefix sum, and its boundaries a sorted array of offsets.
 A piece ends at the last boundary within the limit, found by binary search; a strong one (end of paragraph, line
 or sentence) is taken if it lies in the second half of the piece. The next piece begins the overlap earlier, moved to
-a whole character. Where there is no boundary within the limit the cut is hard, after the last whole character.
+a whole character. Where there is no boundary within the limit the cut is hard, after the last whole character and, where there is
+such a place, not between a letter and its marks or the parts of a joined sign.
 
 The overlap shrinks only where a full one would leave the next boundary out of reach of the next piece.
 
@@ -14,6 +15,8 @@ pieces of one character at least. Very long texts are cut whole. Empty tables gi
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,11 +57,24 @@ class Offsets:
             ended[1:] = space[1:] & np.isin(codes[:-1], _STOPS)
         self.strong = self.chars[1:][newline | ended | np.isin(codes, _WIDE_STOPS)]
         self.size = int(self.chars[-1])
-        closed = np.flatnonzero(open_)
-        begins = np.concatenate([[0], self.chars[closed + 1]])
-        ends = np.concatenate([self.chars[closed], [self.size]])
-        #: The longest stretch without a boundary.
-        self.longest = int((ends - begins).max())
+        self._codes = codes
+
+    @functools.cached_property
+    def whole(self) -> np.ndarray:
+        """Where characters begin that belong together with none before: not marks on a letter, nor what a joiner joins."""
+        distinct, back = np.unique(self._codes, return_inverse=True)
+        joined = np.array([_joins(int(c)) for c in distinct], bool)[back] if len(distinct) else np.zeros(0, bool)
+        begins = ~joined
+        begins[1:] &= self._codes[:-1] != _JOINER
+        return np.concatenate([self.chars[:-1][begins], [self.size]])
+
+
+_JOINER = 0x200D
+
+
+def _joins(code: int) -> bool:
+    """Whether a character belongs to the one before it: marks, the joiner, shades of skin."""
+    return code == _JOINER or 0x1F3FB <= code <= 0x1F3FF or unicodedata.category(chr(code)) in ("Mn", "Mc", "Me")
 
 
 def _last(sorted_offsets: np.ndarray, low: int, high: int) -> int | None:
@@ -81,7 +97,7 @@ def cut(offsets: Offsets, limit: int, overlap: int) -> tuple[list[tuple[int, int
             end = _last(offsets.weak, done, start + limit)
         if end is None:
             hard = True
-            end = _last(offsets.chars, done, start + limit)
+            end = _last(offsets.whole, done, start + limit) or _last(offsets.chars, done, start + limit)
             if end is None:  # a limit below the width of one character
                 end = int(offsets.chars[np.searchsorted(offsets.chars, done, side="right")])
         spans.append((start, end))

@@ -53,3 +53,14 @@ def test_operator(spark):
     assert sum(r["item_id"] == 1 and r["piece_no"] == 0 for r in got) == 2
     assert split.split_items(items.limit(0), limits).count() == 0
     assert split.split_items(items, limits.limit(0)).count() == 0
+
+
+def test_hard_cuts_leave_letters_with_their_marks():
+    text = "e\u0301" * 40  # three bytes each
+    spans, hard = split.cut(split.Offsets(text), 16, 0)
+    assert hard and all(b % 3 == 0 and b - a <= 16 for a, b in spans)
+    family = "\U0001f469\u200d\U0001f467" * 6  # eleven bytes each
+    spans, hard = split.cut(split.Offsets(family), 25, 0)
+    assert hard and all(b % 11 == 0 for _, b in spans)
+    spans, hard = split.cut(split.Offsets("\u0301" * 50), 16, 0)  # marks alone: cut anywhere
+    assert hard and spans[-1][1] == 100 and all(b - a <= 16 for a, b in spans)
