@@ -7,6 +7,9 @@ for each class, by expectation maximisation over the patterns of votes; one clas
 sentences about none, such as passing mentions. Sentences get the class of highest posterior probability, and a document
 the subjects that at least a quarter of its sentences have.
 
+Texts are cut once and stored as the masked sentences of each document; every pass encodes those of a batch as a dictionary and looks at each
+distinct sentence once, whatever its number of occurrences.
+
 The functions are fitted on at most FIT_LABELLED labelled documents, those of smallest hash, and on all other
 documents without theirs: their words, openings, endings, addresses and sources by class and their patterns of votes are summed
 up by tasks, TURNS times, from beliefs that are rounded so that the same tables give the same model in whatever order
@@ -28,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.storage import spread
+from logloom.functions.storage import materialize, spread
 
 #: Most labelled documents that the functions are fitted on; of others all are.
 FIT_LABELLED = 4000
@@ -106,6 +111,45 @@ def _normalised(logs: np.ndarray) -> np.ndarray:
     return logs / logs.sum(axis=-1, keepdims=True)
 
 
+_CUT = "doc_id bigint, service string, source string, addresses array<string>, sentences array<string>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).dictionary_encode()  # copies of a batch are cut once
+        addresses, found = [], []
+        for text in texts.dictionary.to_pylist():
+            parts = sentences(text)
+            addresses.append([a for a, _ in parts])
+            found.append(masked("\0".join(s for _, s in parts)).split("\0") if parts else [])
+        lists = [pa.array(x, pa.list_(pa.string())).take(texts.indices) for x in (addresses, found)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(k).fill_null("") for k in (2, 3)), *lists], [x.split()[0] for x in _CUT.split(", ")])
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """The masked sentences and addresses of every document with a text, stored, as they are read several times."""
+    real = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    return materialize(spread(real.select("doc_id", F.translate("text", "\0", " ").alias("text"), "service_name", "source")).mapInArrow(_cut, _CUT), "sentences")
+
+
+class Occurrences:
+    """The sentences of a batch: distinct ones, places (address, else service) and sources, and their numbers for each occurrence."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.lengths = batch.column(4).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.docs = np.repeat(np.arange(batch.num_rows), self.lengths)
+        self.at, self.sentences = self._encoded(batch.column(4).flatten())
+        services, sources = (batch.column(k).take(pa.array(self.docs)) for k in (1, 2))
+        addresses = batch.column(3).flatten()
+        self.places, self.place_names = self._encoded(pc.if_else(pc.equal(addresses, ""), services, addresses))
+        self.sources, self.source_names = self._encoded(sources)
+
+    @staticmethod
+    def _encoded(values: pa.Array) -> tuple[np.ndarray, list[str]]:
+        coded = values.dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
 class Model:
     """The labelling functions and the latent model over their votes."""
 
@@ -121,10 +165,10 @@ class Model:
         self._seen: dict[tuple, tuple[int, float]] = {}
         self._lexicon_votes: dict[str, int] = {}
 
-    def votes(self, item: Item) -> tuple[int, ...]:
-        """A class from each function; ``classes`` if it abstains."""
-        if (vote := self._lexicon_votes.get(item[1])) is None:
-            known = [x for w in features(item[1])[0] if (x := self.lexicon.get(w)) is not None]
+    def lexicon_vote(self, sentence: str) -> int:
+        """The class of highest probability by the words of a sentence, if it is likelier than not."""
+        if (vote := self._lexicon_votes.get(sentence)) is None:
+            known = [x for w in features(sentence)[0] if (x := self.lexicon.get(w)) is not None]
             vote = self.classes
             if known:
                 p = _normalised(self.prior + np.array(known).sum(axis=0))
@@ -132,8 +176,21 @@ class Model:
                 vote = best if p[best] > 0.5 else self.classes
             if len(self._lexicon_votes) >= SEEN_AT_MOST:
                 self._lexicon_votes.clear()
-            self._lexicon_votes[item[1]] = vote
-        return (vote, *(t.get(v, self.classes) for t, v in zip(self.tables, values_of(item))))
+            self._lexicon_votes[sentence] = vote
+        return vote
+
+    def votes(self, item: Item) -> tuple[int, ...]:
+        """A class from each function; ``classes`` if it abstains."""
+        return (self.lexicon_vote(item[1]), *(t.get(v, self.classes) for t, v in zip(self.tables, values_of(item))))
+
+    def all_votes(self, found: Occurrences) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct patterns of votes in a batch, and the number of its pattern for each sentence."""
+        none, (section, ending, address, source) = self.classes, self.tables
+        said = [(self.lexicon_vote(s), section.get(a, none), ending.get(b, none)) for s in found.sentences for _, a, b in (features(s),)]
+        first = np.array(said, np.int64).reshape(-1, 3)[found.at]
+        places = np.array([address.get(v, none) for v in found.place_names], np.int64)[found.places]
+        sources = np.array([source.get(v, none) for v in found.source_names], np.int64)[found.sources]
+        return np.unique(np.column_stack([first, places, sources]), axis=0, return_inverse=True) if len(found.at) else (np.zeros((0, 5), np.int64), np.zeros(0, np.int64))
 
     def posterior(self, votes: tuple[int, ...]) -> np.ndarray:
         logs = self.class_share.copy()
@@ -157,66 +214,53 @@ class Model:
 class Others:
     """What all documents but the labelled ones given add to the sums that the model is fitted on, by distributed aggregation."""
 
-    def __init__(self, docs: DataFrame, n: int):
-        self.docs, self.n = spread(docs.select("doc_id", "text", "service_name", "source")), n
+    def __init__(self, cut: DataFrame, n: int):
+        self.cut, self.n = cut, n
         self.sums = [f"c{k}" for k in range(n)]
 
     def expect(self, index: dict[str, int], logs: np.ndarray, class_share: np.ndarray) -> pd.DataFrame:
         """kind, name, sums by class: of kind 0 words of at least two sentences, of 1 to 4 values of the other functions, of 5 all."""
-        n, shared = self.n, self.docs.sparkSession.sparkContext.broadcast((index, logs, class_share))
+        shared = self.cut.sparkSession.sparkContext.broadcast((index, logs, class_share))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _expected(batch, *shared.value)
+                yield pa.RecordBatch.from_pandas(_expected(Occurrences(batch), batch.num_rows, *shared.value), preserve_index=False)
 
         columns = ", ".join(f"{c} double" for c in self.sums)
-        found = self.docs.mapInPandas(run, f"kind int, name string, used bigint, {columns}")
+        found = self.cut.mapInArrow(run, f"kind int, name string, used bigint, {columns}")
         total = found.groupBy("kind", "name").agg(F.sum("used").alias("used"), *(F.sum(c).alias(c) for c in self.sums))
         return total.filter("kind > 0 or used >= 2").drop("used").orderBy("kind", "name").toPandas()
 
     def patterns(self, model: Model) -> Counter:
         """How many sentences have each pattern of votes."""
-        shared = self.docs.sparkSession.sparkContext.broadcast(model)
+        shared = self.cut.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts: Counter = Counter()
-                for _, text, service, source in batch.itertuples(index=False):
-                    counts.update((a, masked(s), service or "", source or "") for a, s in sentences(text))
-                votes: Counter = Counter()
-                for item, k in counts.items():
-                    votes[own.votes(item)] += k
-                yield pd.DataFrame([(list(v), k) for v, k in votes.items()], columns=["votes", "n"])
-
-        found = self.docs.mapInPandas(run, "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))
+                votes, own = shared.value.all_votes(Occurrences(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(votes.tolist(), pa.list_(pa.int32())), pa.array(np.bincount(own.ravel(), minlength=len(votes)), pa.int64())], ["votes", "n"])
+
+        found = self.cut.mapInArrow(run, "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))
         return Counter({(tuple(r["votes"]), None): r["n"] for r in found.orderBy("votes").collect()})
 
 
-def _expected(batch: pd.DataFrame, index: dict[str, int], logs: np.ndarray, class_share: np.ndarray) -> pd.DataFrame:
+def _expected(found: Occurrences, n_docs: int, index: dict[str, int], logs: np.ndarray, class_share: np.ndarray) -> pd.DataFrame:
     """The sums of some documents, each with its own shares of the classes."""
-    n = logs.shape[1]
-    place: dict[str, int] = {}
-    at, doc, codes, values = [], [], [{} for _ in range(4)], [[] for _ in range(4)]
-    for number, (_, text, service, source) in enumerate(batch.itertuples(index=False)):
-        for address, sentence in sentences(text):
-            item = address, masked(sentence), service or "", source or ""
-            at.append(place.setdefault(item[1], len(place)))
-            doc.append(number)
-            for k, v in enumerate(values_of(item)):
-                values[k].append(codes[k].setdefault(v, len(codes[k])))
+    n, at, doc, place = logs.shape[1], found.at, found.docs, found.sentences
     names = ["kind", "name", "used", *(f"c{k}" for k in range(n))]
-    if not at:
-        return pd.DataFrame(columns=names)
-    at, doc = np.array(at), np.array(doc)
-    words = [features(x)[0] for x in place]
+    if not len(at):
+        return pd.DataFrame({c: pd.Series(dtype="int32" if c == "kind" else "object" if c == "name" else "int64" if c == "used" else "float64") for c in names})
+    seen = [features(x) for x in place]
+    words = [x[0] for x in seen]
+    codes: list[dict[str, int]] = [{}, {}, {v: k for k, v in enumerate(found.place_names)}, {v: k for k, v in enumerate(found.source_names)}]
+    values = [np.array([codes[k].setdefault(x[k + 1], len(codes[k])) for x in seen])[at] for k in range(2)] + [found.places, found.sources]
     known = [[index[w] for w in x if w in index] for x in words]
     of = np.repeat(np.arange(len(place)), [len(x) for x in known])
     scores = _sums(of, logs, np.array([w for x in known for w in x], np.int64), len(place))
-    own = np.full((len(batch), n), 1.0 / n)
+    own = np.full((n_docs, n), 1.0 / n)
     for _ in range(OWN_ROUNDS):
         p = _normalised(scores[at] + np.log(own[doc]))
-        own = _sums(doc, p, np.arange(len(at)), len(batch)) + class_share
+        own = _sums(doc, p, np.arange(len(at)), n_docs) + class_share
         own /= own.sum(axis=1, keepdims=True)
     p = np.rint(p * (1 << 20)) / (1 << 20)  # sums of these are exact
     rows = np.arange(len(at))
@@ -227,14 +271,14 @@ def _expected(batch: pd.DataFrame, index: dict[str, int], logs: np.ndarray, clas
     pairs = np.unique(np.stack([of, word], axis=1), axis=0)
     tables = [(0, heard, np.bincount(pairs[:, 1], often[pairs[:, 0]], minlength=len(heard)), _sums(word, by_sentence, of, len(heard)))]
     for k in range(4):
-        tables.append((k + 1, codes[k], np.zeros(len(codes[k])), _sums(np.array(values[k]), p, rows, len(codes[k]))))
+        tables.append((k + 1, codes[k], np.zeros(len(codes[k])), _sums(values[k], p, rows, len(codes[k]))))
     tables.append((5, {"": 0}, np.zeros(1), p.sum(axis=0, keepdims=True)))
     parts = []
     for kind, entries, used, sums in tables:
         part = pd.DataFrame(sums, columns=names[3:])
         part.insert(0, "used", used.astype(np.int64))
         part.insert(0, "name", list(entries))
-        part.insert(0, "kind", kind)
+        part.insert(0, "kind", np.int32(kind))
         parts.append(part)
     return pd.concat(parts, ignore_index=True)
 
@@ -373,8 +417,8 @@ def _sample(docs: DataFrame, limit: int) -> DataFrame:
     return docs.select("doc_id", "text", "service_name", "source").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None:
-    """Fits on a bounded sample of labelled documents on the driver, and on the sums of all others."""
+def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, cut: DataFrame) -> Model | None:
+    """Fits on a bounded sample of labelled documents on the driver, and on the sums of all others. ``cut``: cut_documents(docs)."""
     names = [r["subject"] for r in subjects.filter("subject is not null").select("subject").distinct().collect()]
     usable = labels.filter("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
     real = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -383,7 +427,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | No
     if labelled.empty or not names:
         return None
     fitted = docs.sparkSession.createDataFrame([(int(d),) for d in labelled["doc_id"].unique()], "doc_id bigint")
-    others = Others(real.join(F.broadcast(fitted), "doc_id", "left_anti"), len(names) + 1)  # labelled ones past the bound too
+    others = Others(cut.join(F.broadcast(fitted), "doc_id", "left_anti"), len(names) + 1)  # labelled ones past the bound too
     own: dict[int, set[str]] = defaultdict(set)
     # Only labels of the documents that are fitted on, so that none is pushed out by those of unknown documents.
     for r in usable.join(F.broadcast(fitted), "doc_id", "left_semi").filter(F.col("subject").isin(*names)).collect():
@@ -395,27 +439,33 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | No
 _SHARES = "doc_id bigint, subject string, n_sentences bigint, n_all bigint"
 
 
-def sentence_subjects(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, subject, n_sentences, n_all: how many of a document's sentences have each subject."""
-    spark = docs.sparkSession
+def sentence_subjects(cut: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, subject, n_sentences, n_all: how many of a document's sentences have each subject. ``cut``: cut_documents()."""
+    spark = cut.sparkSession
     if model is None:
         return spark.createDataFrame([], _SHARES)
     shared = spark.sparkContext.broadcast(model)  # grows with the vocabulary
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        names, n = pa.array(own.subjects, pa.string()), len(own.subjects)
         for batch in batches:
-            rows = []
-            for doc_id, text, service, source in batch.itertuples(index=False):
-                rows += [(doc_id, s, k, n) for s, (k, n) in subject_shares(own, text, service, source).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "n_sentences", "n_all"])
+            found = Occurrences(batch)
+            votes, which = own.all_votes(found)
+            classes = np.array([int(own.posterior(tuple(v)).argmax()) for v in votes.tolist()], np.int64)[which.ravel()]
+            about = classes < n
+            pairs, counts = np.unique(found.docs[about] * n + classes[about], return_counts=True)
+            docs = pairs // n
+            columns = [batch.column(0).take(pa.array(docs)), names.take(pa.array(pairs % n)), pa.array(counts, pa.int64()), pa.array(found.lengths[docs], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "subject", "n_sentences", "n_all"])
 
-    return spread(docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "service_name", "source")).mapInPandas(run, _SHARES)
+    return cut.mapInArrow(run, _SHARES)
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """One row for each subject of at least a quarter of a document's sentences."""
-    shares = sentence_subjects(docs, train(docs, labels, subjects))
+    cut = cut_documents(docs)
+    shares = sentence_subjects(cut, train(docs, labels, subjects, cut))
     return shares.filter(F.col("n_sentences") >= SHARE * F.col("n_all"))
 
 

@@ -71,3 +71,13 @@ def test_every_document_without_labels_teaches(spark):
     subs = spark.createDataFrame([(w,) for w in sorted(WORDS)], "subject string")
     got = {(r["doc_id"], r["subject"]) for r in s.document_subjects(df, lab, subs).filter("doc_id >= 300000").collect()}
     assert got == {(300_000, "music"), (300_001, "sport")}
+
+
+def test_batches_are_classified_like_single_texts(spark):
+    docs, truth = corpus(80, 3)
+    rows = docs + [(500, "Gate.Router: the violin section sang without notes\n2026-01-01 10:00:00 INFO x.y: the auditor was signed by counsel", None, None), (501, "the choir\0sang without notes.", "svc", "src"), (502, "--", "", ""), (503, None, "a", "b")]
+    model = s.fit(docs[:60], {k: truth[k] for k in range(40)}, sorted(WORDS))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, service_name string, source string")
+    got = {(r["doc_id"], r["subject"]): (r["n_sentences"], r["n_all"]) for r in s.sentence_subjects(s.cut_documents(df), model).collect()}
+    want = {(d, w): x for d, text, service, source in rows for w, x in s.subject_shares(model, text.replace("\0", " ") if text else text, service, source).items()}
+    assert got == want and {d for d, _ in got} >= {500, 501}
