@@ -165,15 +165,31 @@ class Model:
         self._seen: dict[tuple, tuple[int, float]] = {}
         self._lexicon_votes: dict[str, int] = {}
 
+    @functools.cached_property
+    def _table(self) -> tuple[dict[str, int], np.ndarray]:
+        """The lexicon as numbers of words and a matrix."""
+        return {w: k for k, w in enumerate(self.lexicon)}, np.array(list(self.lexicon.values())).reshape(-1, self.classes)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}  # made again where it is used
+
+    def lexicon_votes(self, found: list[str]) -> np.ndarray:
+        """For each sentence the class of highest probability by its words, if it is likelier than not."""
+        numbers, matrix = self._table
+        known = [[k for w in features(x)[0] if (k := numbers.get(w)) is not None] for x in found]
+        sizes = np.array([len(x) for x in known], np.int64)
+        votes = np.full(len(found), self.classes, np.int64)
+        if (some := np.flatnonzero(sizes)).size:
+            words = np.fromiter((k for x in known for k in x), np.int64, sizes.sum())
+            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            p = _normalised(self.prior + np.add.reduceat(matrix[words], starts, axis=0))
+            best = p.argmax(axis=1)
+            votes[some] = np.where(p[np.arange(len(some)), best] > 0.5, best, self.classes)
+        return votes
+
     def lexicon_vote(self, sentence: str) -> int:
-        """The class of highest probability by the words of a sentence, if it is likelier than not."""
         if (vote := self._lexicon_votes.get(sentence)) is None:
-            known = [x for w in features(sentence)[0] if (x := self.lexicon.get(w)) is not None]
-            vote = self.classes
-            if known:
-                p = _normalised(self.prior + np.array(known).sum(axis=0))
-                best = int(p.argmax())
-                vote = best if p[best] > 0.5 else self.classes
+            vote = int(self.lexicon_votes([sentence])[0])
             if len(self._lexicon_votes) >= SEEN_AT_MOST:
                 self._lexicon_votes.clear()
             self._lexicon_votes[sentence] = vote
@@ -186,11 +202,13 @@ class Model:
     def all_votes(self, found: Occurrences) -> tuple[np.ndarray, np.ndarray]:
         """The distinct patterns of votes in a batch, and the number of its pattern for each sentence."""
         none, (section, ending, address, source) = self.classes, self.tables
-        said = [(self.lexicon_vote(s), section.get(a, none), ending.get(b, none)) for s in found.sentences for _, a, b in (features(s),)]
-        first = np.array(said, np.int64).reshape(-1, 3)[found.at]
+        said = [(section.get(a, none), ending.get(b, none)) for _, a, b in map(features, found.sentences)]
+        first = np.column_stack([self.lexicon_votes(found.sentences), np.array(said, np.int64).reshape(-1, 2)])[found.at]
         places = np.array([address.get(v, none) for v in found.place_names], np.int64)[found.places]
         sources = np.array([source.get(v, none) for v in found.source_names], np.int64)[found.sources]
-        return np.unique(np.column_stack([first, places, sources]), axis=0, return_inverse=True) if len(found.at) else (np.zeros((0, 5), np.int64), np.zeros(0, np.int64))
+        votes = np.column_stack([first, places, sources])
+        _, at, own = np.unique(votes @ (none + 1) ** np.arange(5), return_index=True, return_inverse=True)
+        return votes[at], own
 
     def posterior(self, votes: tuple[int, ...]) -> np.ndarray:
         logs = self.class_share.copy()
@@ -268,8 +286,8 @@ def _expected(found: Occurrences, n_docs: int, index: dict[str, int], logs: np.n
     heard: dict[str, int] = {}
     word = np.array([heard.setdefault(w, len(heard)) for x in words for w in x], np.int64)
     of = np.repeat(np.arange(len(place)), [len(x) for x in words])
-    pairs = np.unique(np.stack([of, word], axis=1), axis=0)
-    tables = [(0, heard, np.bincount(pairs[:, 1], often[pairs[:, 0]], minlength=len(heard)), _sums(word, by_sentence, of, len(heard)))]
+    pairs = np.unique(of * max(len(heard), 1) + word)
+    tables = [(0, heard, np.bincount(pairs % max(len(heard), 1), often[pairs // max(len(heard), 1)], minlength=len(heard)), _sums(word, by_sentence, of, len(heard)))]
     for k in range(4):
         tables.append((k + 1, codes[k], np.zeros(len(codes[k])), _sums(values[k], p, rows, len(codes[k]))))
     tables.append((5, {"": 0}, np.zeros(1), p.sum(axis=0, keepdims=True)))
