@@ -9,8 +9,9 @@ among these. What the search loses is reported by recall(), for
 every vector whose id is divisible by 100, against exact_nearest(), the exact way.
 
 Lists that the sample shows to hold more than OVERSIZE vectors are split by centroids of their own, so their number grows with the
-data, up to the size of the sample. Lists and the queries that visit them are cut into blocks of bounded size, so even a list
-that can't be split becomes a grid of tasks. The copies of a vector are each other's nearest, found by its hash alone. Of a vector
+data, up to the size of the sample. Lists whose centroids are near each other form a bucket, so that a query, whose lists mostly lie
+together, is sent to one or two buckets instead of every list on its own. Buckets and the queries that visit them are cut into blocks of
+bounded size, so even one that holds a third of all vectors becomes a grid of tasks. The copies of a vector are each other's nearest, found by its hash alone. Of a vector
 with many copies only the k + 1 of smallest id can be among the nearest of others and are searched; no vector is
 shuffled but to the lists it is in or visits.
 
@@ -46,10 +47,10 @@ RECALL, MEASURED = 0.97, 256
 PARTS, CODES = 16, 256
 #: Codes reranked exactly for each query and block, at least; where half of a block is, all of it is compared exactly, which is faster.
 RERANK = 64
-#: Vectors of a list in one block, and queries that visit it in one task.
-BLOCK, QUERIES = 4096, 8192
-#: Vectors above which a list is split, and rounds in which that is tried.
-OVERSIZE, SPLITS = 4 * BLOCK, 3
+#: Vectors that a bucket is meant to hold, vectors of a bucket in one block, and queries that visit it in one task.
+BUCKET, BLOCK, QUERIES = 8192, 16_384, 16_384
+#: Vectors above which a list is split, vectors that its parts are meant to hold, and rounds in which that is tried.
+OVERSIZE, PART, SPLITS = 16_384, 4096, 3
 #: Numbers in one block of products when vectors are compared with all centroids.
 PRODUCTS = 1 << 22
 #: Centroids that are fitted at once; more are fitted in two levels.
@@ -110,9 +111,11 @@ class Index:
             over = np.flatnonzero((sizes > OVERSIZE) & (members > 1))
             if not len(over):
                 break
-            split = [kmeans(sample[near == c], int(min(members[c], math.ceil(sizes[c] / BLOCK))), 10, True, rng) for c in over]
+            split = [kmeans(sample[near == c], int(min(members[c], math.ceil(sizes[c] / PART))), 10, True, rng) for c in over]
             self.centroids = np.ascontiguousarray(np.concatenate([np.delete(self.centroids, over, axis=0), *split]), np.float32)
             near, _ = nearest(sample, self.centroids, True)
+        buckets = min(len(self.centroids), max(1, math.ceil(n / BUCKET)))
+        self.bucket = nearest(self.centroids, coarse(self.centroids, buckets, rng), True)[0].astype(np.int32)
         self.probes = min(len(self.centroids), max(PROBES, math.ceil(SCAN * len(self.centroids) / n)))
         residuals = sample - self.centroids[near]
         self.parts = next(p for p in range(min(PARTS, sample.shape[1]), 0, -1) if sample.shape[1] % p == 0)
@@ -148,7 +151,7 @@ class Index:
         return visits.astype(np.int32), self.codes_of(x, visits[:, 0])
 
     def search(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, neighbour, cosine) of the k nearest in one block of a list, for each query."""
+        """(row of the query, neighbour, cosine) of the k nearest in one block of a list, for each query."""
         out = []
         step = max(1, (1 << 22) // max(len(ids), self.parts * self.codebooks.shape[1]))
         keep = min(len(ids), max(RERANK, 8 * k, math.ceil(self.share * len(ids))))
@@ -171,7 +174,8 @@ class Index:
             order = np.lexsort((found, -exact), axis=1)[:, :k]
             near, cosine = np.take_along_axis(found, order, axis=1), np.take_along_axis(exact, order, axis=1)
             ok = np.isfinite(cosine)
-            out.append((np.broadcast_to(q_ids[:, None], near.shape)[ok], near[ok], cosine[ok]))
+            rows = np.arange(a, a + len(q))
+            out.append((np.broadcast_to(rows[:, None], near.shape)[ok], near[ok], cosine[ok]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -311,7 +315,15 @@ def fit(vectors: DataFrame, n: int, k: int) -> Index | None:
     return index
 
 
-_ASSIGNED = "point bigint, unit binary, visits array<int>, code binary"
+_ASSIGNED = "point bigint, unit binary, visits array<int>, code binary, buckets array<int>"
+
+
+def _distinct_first(buckets: np.ndarray) -> pa.ListArray:
+    """The distinct values of each row, the row's first one first."""
+    new = np.ones(buckets.shape, bool)
+    for k in range(1, buckets.shape[1]):
+        new[:, k] = (buckets[:, :k] != buckets[:, k : k + 1]).all(axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]).astype(np.int32)), pa.array(buckets[new]))
 
 
 def _assign(index):
@@ -323,7 +335,8 @@ def _assign(index):
             visits, codes = own.assign(_matrix(batch.column(1)))
             places = pa.array(np.arange(0, visits.size + 1, visits.shape[1], dtype=np.int32))
             lists = pa.ListArray.from_arrays(places, pa.array(visits.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([c.tobytes() for c in codes], pa.binary())], ["point", "unit", "visits", "code"])
+            columns = [batch.column(0), batch.column(1), lists, pa.array([c.tobytes() for c in codes], pa.binary()), _distinct_first(own.bucket[visits])]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ASSIGNED.split(", ")])
 
     return run
 
@@ -342,17 +355,43 @@ def _few_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     return order[rank < most]
 
 
+def _best_of_rows(rows: np.ndarray, near: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
+    """The positions of the k nearest of each row."""
+    order = np.lexsort((near, -cosine, rows))
+    counts = np.bincount(rows)
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return order[rank < k]
+
+
 def _search(index, k: int):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["point", "other", "cosine"]
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names)
         if not block.num_rows or not queries.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names)
-        ids, q_ids = block.column("point").to_numpy(), queries.column("query").to_numpy()
+            return none
+        own, ids, q_ids, lists = index.value, block.column("point").to_numpy(), queries.column("query").to_numpy(), block.column("list").to_numpy()
         x, q = _matrix(block.column("unit").combine_chunks()), _matrix(queries.column("q_unit").combine_chunks())
         codes = _matrix(block.column("code").combine_chunks(), np.uint8)
         few = _few_copies(ids, x, k + 1)
-        ids, x, codes = ids[few], x[few], codes[few]
-        return pa.table([pa.array(c) for c in index.value.search(ids, x, codes, q_ids, q, k)], names)
+        few = few[np.argsort(lists[few], kind="stable")]
+        ids, x, codes, lists = ids[few], x[few], codes[few], lists[few]
+        visits = queries.column("q_visits").combine_chunks()
+        row = np.repeat(np.arange(len(q_ids)), visits.value_lengths().to_numpy(zero_copy_only=False))
+        visited = visits.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(visited, kind="stable")
+        row, visited = row[order], visited[order]
+        found = []
+        starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+        for a, b in zip(starts, [*starts[1:], len(lists)]):
+            asking = row[np.searchsorted(visited, lists[a]) : np.searchsorted(visited, lists[a], side="right")]
+            if len(asking):
+                at, near, cosine = own.search(ids[a:b], x[a:b], codes[a:b], q_ids[asking], q[asking], k)
+                found.append((asking[at], near, cosine))
+        if not found:
+            return none
+        rows, near, cosine = (np.concatenate(c) for c in zip(*found))
+        best = _best_of_rows(rows, near, cosine, k)
+        return pa.table([pa.array(q_ids[rows[best]]), pa.array(near[best]), pa.array(cosine[best])], names)
 
     return run
 
@@ -366,17 +405,17 @@ def nearest_of_all(vectors: DataFrame, n: int, k: int) -> DataFrame:
     index = spark.sparkContext.broadcast(fitted)  # no more centroids than the sample has vectors, and the codebooks
     # Stored, as it is read three times.
     assigned = materialize(vectors.select("point", "unit").mapInArrow(_assign(index), _ASSIGNED), "assigned")
-    # How many blocks each list has and how many groups of queries visit it; a row a list.
-    visits = assigned.select(F.posexplode("visits").alias("rank", "list"))
-    sizes = visits.groupBy("list").agg(F.count("*").alias("q"), F.count_if(F.col("rank") == 0).alias("n")).filter("n > 0")
-    grid = F.broadcast(sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("groups")))
-    members = assigned.select("point", "unit", "code", F.col("visits")[0].alias("list")).join(grid, "list")
+    # How many blocks each bucket has and how many groups of queries visit it; a row a bucket.
+    visits = assigned.select(F.posexplode("buckets").alias("rank", "bucket"))
+    sizes = visits.groupBy("bucket").agg(F.count("*").alias("q"), F.count_if(F.col("rank") == 0).alias("n")).filter("n > 0")
+    grid = F.broadcast(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("groups")))
+    members = assigned.select("point", "unit", "code", F.col("visits")[0].alias("list"), F.col("buckets")[0].alias("bucket")).join(grid, "bucket")
     members = members.withColumn("block", F.pmod(F.xxhash64("point"), "blocks").cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    queries = assigned.select(F.col("point").alias("query"), F.col("unit").alias("q_unit"), F.explode("visits").alias("list")).join(grid, "list")
+    queries = assigned.select(F.col("point").alias("query"), F.col("unit").alias("q_unit"), F.col("visits").alias("q_visits"), F.explode("buckets").alias("bucket")).join(grid, "bucket")
     queries = queries.withColumn("group", F.pmod(F.xxhash64("query"), "groups").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = ["list", "block", "group"]
-    queries = queries.select(*(F.col(c).alias(f"q_{c}") for c in cell), "query", "q_unit")
-    found = members.select(*cell, "point", "unit", "code").groupBy(*cell).cogroup(queries.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(_search(index, k), _NEAR)
+    cell = ["bucket", "block", "group"]
+    queries = queries.select(*(F.col(c).alias(f"q_{c}") for c in cell), "query", "q_unit", "q_visits")
+    found = members.select(*cell, "point", "unit", "code", "list").groupBy(*cell).cogroup(queries.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(_search(index, k), _NEAR)
     return found
 
 

@@ -33,6 +33,7 @@ def clustered(n, dims, seed=0):
 
 def test_recall_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nb, "SCAN", 100)
+    monkeypatch.setattr(nb, "BUCKET", 200)
     monkeypatch.setattr(nb, "BLOCK", 64)
     monkeypatch.setattr(nb, "QUERIES", 100)
     monkeypatch.setattr(nb, "RERANK", 24)
@@ -86,7 +87,7 @@ def test_recall_on_a_manifold(spark):
 
 
 def test_oversized_lists_are_split(monkeypatch):
-    monkeypatch.setattr(nb, "BLOCK", 256)
+    monkeypatch.setattr(nb, "PART", 256)
     monkeypatch.setattr(nb, "OVERSIZE", 1024)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(6000, 16))
@@ -99,6 +100,18 @@ def test_oversized_lists_are_split(monkeypatch):
     assert 24 <= len(nb.coarse(x, 32, rng)) <= 40
 
 
+def test_queries_go_to_few_buckets(monkeypatch):
+    monkeypatch.setattr(nb, "BUCKET", 500)
+    x = clustered(5000, 32, 4)
+    x = np.ascontiguousarray(x / np.linalg.norm(x, axis=1, keepdims=True), np.float32)
+    index = nb.Index(x[::2].copy(), 64, len(x))
+    visits, _ = index.assign(x)
+    buckets = nb._distinct_first(index.bucket[visits])
+    lists = buckets.to_pylist()
+    assert all(b[0] == index.bucket[v[0]] and sorted(b) == sorted(set(index.bucket[v].tolist())) for b, v in zip(lists, visits))
+    assert sum(map(len, lists)) < 0.7 * visits.size and len(set(index.bucket.tolist())) > 3
+
+
 def test_assign_is_cut_into_small_blocks(monkeypatch):
     rng = np.random.default_rng(8)
     x = np.ascontiguousarray(rng.normal(size=(500, 16)), np.float32)
