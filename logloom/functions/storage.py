@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,11 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+@atexit.register
+def _forget() -> None:
+    """What is left in folders that this process can open goes with it; no frame outlives the driver."""
+    for path in _written:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
     The files outlive every executor, so a lost one costs a task and no lineage is run again. They stay until
-    release(), as frames that read them are lazy.
+    release() or the end of the driver, as frames that read them are lazy.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -51,5 +61,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Small files come as few partitions. Where a scan has enough of them, as on large inputs, nothing is moved.
     """
+    if (plan := getattr(df, "_jdf", None)) is None:  # a remote session doesn't tell its partitions
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.queryExecution().toRdd().getNumPartitions() < cores else df

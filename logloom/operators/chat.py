@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
@@ -110,33 +111,40 @@ def read_frames(chunks: Iterable[str]) -> Iterator[dict]:
 
 
 class Sessions:
-    """Messages by session, bounded; optionally kept in a file that is read again after a restart."""
+    """Messages by session, bounded; optionally kept in a folder, a file a session, that is read again after a restart."""
 
     def __init__(self, options: ChatOptions = ChatOptions(), path: str | None = None):
         self.limit, self.path = max(4, 4 * options.history_messages), path
         self._messages: dict[str, list[tuple[str, str, str]]] = {}
-        if path:
+
+    def _file(self, session_id: str) -> str:
+        return os.path.join(self.path, hashlib.sha256(session_id.encode("utf-8", "replace")).hexdigest() + ".json")
+
+    def _own(self, session_id: str) -> list[tuple[str, str, str]]:
+        if self.path and session_id not in self._messages:
             try:
-                with open(path, encoding="utf-8") as f:
-                    self._messages = {k: [tuple(m) for m in v] for k, v in json.load(f).items()}
+                with open(self._file(session_id), encoding="utf-8") as f:
+                    self._messages[session_id] = [tuple(m) for m in json.load(f)]
             except (OSError, ValueError):
                 pass
+        return self._messages.get(session_id, [])
 
     @staticmethod
     def resolve(session_id: str | None) -> str:
         return session_id.strip() if session_id and session_id.strip() else uuid.uuid4().hex
 
     def history(self, session_id: str) -> list[tuple[str, str, str]]:
-        return list(self._messages.get(session_id, ()))
+        return list(self._own(session_id))
 
     def append(self, session_id: str, role: str, content: str, now: datetime | None = None) -> None:
-        own = self._messages.setdefault(session_id, [])
-        own.append((role, content, (now or datetime.now(timezone.utc)).isoformat()))
-        del own[: -self.limit]
+        own = [*self._own(session_id), (role, content, (now or datetime.now(timezone.utc)).isoformat())][-self.limit :]
+        self._messages[session_id] = own
         if self.path:
-            with open(self.path + ".tmp", "w", encoding="utf-8") as f:
-                json.dump(self._messages, f)
-            os.replace(self.path + ".tmp", self.path)
+            os.makedirs(self.path, exist_ok=True)
+            file = self._file(session_id)
+            with open(file + ".tmp", "w", encoding="utf-8") as f:
+                json.dump(own, f)
+            os.replace(file + ".tmp", file)
 
 
 def history_text(history: list[tuple[str, str, str]], n: int) -> str:

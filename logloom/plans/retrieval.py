@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.config import NOISE
 from logloom.functions import text as tx
 from logloom.functions.storage import spread
 from logloom.operators import chat, chunk, normalize, parse, search
@@ -115,6 +116,25 @@ def noise_filter(spark, sf):
     return parse.drop_noise(raw, (r"start retry! thread:", " ", r"callback was throttled", r"\[pid \d+\]")).select("raw_id")
 
 
+_NOISY = (
+    ' {"PayloadSenderV2"} Cancellation  requested', " Elastic.Apm.Metrics.MetricSet", " no TYPE was specified for the decimal property", " SqlServerObjectsInstaller",
+    " processing Denomination 12 on thread 7", " START retry! thread:", " end Retry! Thread:", " start Retry Thread", " Processing denomination x on thread 7", " ElasticXApm.Metrics.MetricSet",
+)
+
+
+def noise_filter_shipped(spark, sf):
+    """The shipped patterns, on messages of which most have something like noise at the end."""
+    e = _read(spark, sf, "log_entries").filter("log_id is not null")
+    noise = F.element_at(F.array(*map(F.lit, _NOISY)), (F.col("log_id") % len(_NOISY) + 1).cast("int"))
+    return parse.drop_noise(e.select("log_id", F.concat(F.coalesce("message", F.lit("")), noise).alias("raw_text"))).select("log_id")
+
+
+def payload_defaults(spark, sf):
+    """What stands for missing metadata of chunks; times are those of loading."""
+    e = _read(spark, sf, "log_entries").select("log_id", "severity", "service_name", "source_id", "source_type", "trace_id", "correlation_id", "module", "method", "log_source", "destination", "brn", F.col("load_day").cast("timestamp").alias("timestamp_utc"))
+    return search.with_defaults(e, F.lit(NOW))
+
+
 def event_start(spark, sf):
     raw = _read(spark, sf, "raw_logs")
     return raw.select("raw_id", F.coalesce(F.col("raw_text").rlike("(?U)" + START), F.lit(False)).alias("starts"))
@@ -285,12 +305,15 @@ def prompt_history(spark, sf):
 
 
 def _retrieved(spark, sf):
-    """The chunks for the question, as retrieve_chunks finds them."""
-    chunks = _read(spark, sf, "log_chunks").select("chunk_id", "trace_id", "source_id", "source_type", F.coalesce(F.col("load_day").cast("timestamp"), F.lit(NOW)).alias("timestamp_utc"))
+    """The chunks for the question, as retrieve_chunks finds them, with the day on which their entry was first loaded as their time."""
+    chunks = _read(spark, sf, "log_chunks").select("chunk_id", "trace_id", "source_id", "source_type")
     points = _chunk_points(spark, sf).join(chunks, "chunk_id")
     first = _usable_vector(spark, sf)
     vector = list(first[0]) if first else [0.0]
-    return search.retrieve(points, QUESTION, vector, 8, QueryFilter(severity="info"), id_col="point_no")
+    found = search.retrieve(points, QUESTION, vector, 8, QueryFilter(severity="info"), id_col="point_no")
+    entries = _read(spark, sf, "log_entries").select("log_hash", "load_day").join(F.broadcast(found.select("log_hash")), "log_hash", "left_semi")
+    loaded = entries.groupBy("log_hash").agg(F.min("load_day").cast("timestamp").alias("timestamp_utc"))  # of at most 8 hashes
+    return found.join(F.broadcast(loaded), "log_hash", "left").withColumn("timestamp_utc", F.coalesce("timestamp_utc", F.lit(NOW)))
 
 
 def context_build(spark, sf):
@@ -303,7 +326,7 @@ def citations(spark, sf):
 
 _ALL = (
     vector_topk, vector_topk_filtered, retrieve_dedup_rerank, retrieve_chunks, hybrid_rank, embed_documents, metadata_filter, severity_filter_unfolded,
-    time_range, noise_filter, event_start, lexical_overlap, severity_fold, timestamp_text, event_hash, point_id, chunk_documents, csv_parse, json_parse,
+    time_range, noise_filter, noise_filter_shipped, payload_defaults, event_start, lexical_overlap, severity_fold, timestamp_text, event_hash, point_id, chunk_documents, csv_parse, json_parse,
     kv_parse, ts_prefix_parse, regex_rule_parse, payload_residual, normalize_lines, parse_raw_logs, ingest_raw_logs, chunk_log_entries, retention,
     upsert_latest, dedup_exact, ingest_counts, session_history, prompt_history, context_build, citations,
 )
@@ -325,8 +348,8 @@ def _overlap(x: str) -> str:
     return f"(len(list_filter({words}, lambda w: contains(lower({x}), w))) / 6.0)"
 
 
-#: The time of a chunk as text: its load_day, or NOW.
-ISO = "strftime(coalesce(load_day, DATE '2026-05-01'), '%Y-%m-%dT00:00:00.0000000+00:00')"
+#: The time of a chunk as text: the first load_day of its entry, or NOW.
+ISO = "strftime(coalesce((SELECT min(load_day) FROM log_entries e WHERE e.log_hash = ranked.log_hash), DATE '2026-05-01'), '%Y-%m-%dT00:00:00.0000000+00:00')"
 _LINES = "FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL"
 _REDACT_SQL = (
     r"regexp_replace({}, 'eyJ[A-Za-z0-9_-]{{10,}}\.eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]+', '[REDACTED_JWT]', 'g')",
@@ -386,6 +409,9 @@ def oracle_sql() -> dict[str, str]:
         "severity_filter_unfolded": "SELECT log_id, severity FROM log_entries WHERE severity = 'WARN'",
         "time_range": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-15'",
         "noise_filter": r"SELECT raw_id FROM raw_logs WHERE NOT coalesce(regexp_matches(raw_text, '(?i)start retry! thread:|callback was throttled|\[pid \d+\]'), false)",
+        "noise_filter_shipped": rf"""WITH t AS (SELECT log_id, coalesce(message, '') || [{", ".join(f"'{x}'" for x in _NOISY)}][log_id % {len(_NOISY)} + 1] AS raw_text FROM log_entries WHERE log_id IS NOT NULL)
+            SELECT log_id FROM t WHERE NOT regexp_matches(raw_text, '(?i){"|".join(NOISE)}')""",
+        "payload_defaults": "SELECT log_id, " + ", ".join(f"coalesce({c}, '{v}') AS {c}" for c, v in search.DEFAULTS.items()) + ", brn, coalesce(load_day::TIMESTAMP, TIMESTAMP '2026-05-01') AS timestamp_utc FROM log_entries",
         "event_start": r"""SELECT raw_id, coalesce(regexp_matches(raw_text, '^(?:\d{4}-\d{2}-\d{2}[ T]\d{2}\s*:\s*\d{2}\s*:\s*\d{2}|[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\b|\s*\{|\s*(?i:timestamp)=)'), false) AS starts FROM raw_logs""",
         "lexical_overlap": f"SELECT doc_id, round({_overlap("coalesce(text, '')")}, 6) AS overlap FROM documents",
         "severity_fold": f"SELECT log_id, CASE upper({_trim('severity')}) WHEN 'WARN' THEN 'WARNING' WHEN 'ERR' THEN 'ERROR' WHEN 'CRIT' THEN 'CRITICAL' ELSE upper({_trim('severity')}) END AS severity FROM log_entries",
