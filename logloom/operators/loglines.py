@@ -411,7 +411,8 @@ def _lines_of(raw: DataFrame) -> DataFrame:
     return kept.select("raw_id", F.coalesce(path, F.concat(F.lit("\0"), F.col("raw_id").cast("string"))).alias("path"), F.coalesce(at, F.lit(0)).alias("at"), "raw_text")
 
 
-# What the first pass hands on: files with a listed layout, masked heads of others, and rows that are often delivered.
+# What the first pass hands on: files with a listed layout, masked heads of others (``at``: the place of the time), and rows that are
+# often delivered (``at``: their offset).
 _LISTED, _HEADS, _COPIES = range(3)
 _LEARNED = "kind int, path string, tokens array<string>, names array<string>, n bigint, at bigint, raw_id bigint"
 
@@ -443,7 +444,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     have[0] += 1
                     have[1] = [a if a == b else None for a, b in zip(have[1], words)]
         rows = [(_LISTED, path, None, None, 1, None, None) for path in sorted(new)]
-        rows += [(_HEADS, path, list(t), names, n, None, None) for (path, t), (n, names) in heads.items() if path not in listed]
+        rows += [(_HEADS, path, list(t), names, n, time_place(t), None) for (path, t), (n, names) in heads.items() if path not in listed]
         rows += [(_COPIES, path, None, None, n, at, raw_id) for (path, at), (n, raw_id) in copies.items() if n >= OFTEN]
         if len(listed) > 1 << 20:
             listed.clear()
@@ -474,10 +475,9 @@ def odd_files(learned: DataFrame) -> DataFrame:
 def learn_tree(learned: DataFrame, odd: DataFrame) -> TemplateTree:
     """The tree of the odd files' layouts. The driver sees its templates: LEAF_AT_MOST for each number of tokens and
     DEPTH leading masks."""
-    place = F.udf(lambda t: time_place(tuple(t)), "int")
-    heads = learned.filter(F.col("kind") == _HEADS).join(odd, "path", "left_semi").select("path", "tokens", "names", "n")
+    heads = learned.filter(F.col("kind") == _HEADS).join(odd, "path", "left_semi").select("path", "tokens", "names", "n", F.col("at").cast("int").alias("place"))
     # The beginning of a head up to its time, and how many of the lines of its files have it.
-    begun = heads.groupBy("path", "tokens").agg(F.sum("n").alias("n")).withColumn("begin", F.slice("tokens", F.lit(1), place("tokens") + 1))
+    begun = heads.groupBy("path", "tokens", "place").agg(F.sum("n").alias("n")).withColumn("begin", F.slice("tokens", F.lit(1), F.col("place") + 1))
     totals = begun.groupBy("path").agg(F.sum("n").alias("total"))
     shares = begun.groupBy("path", "begin").agg(F.sum("n").alias("n")).join(totals, "path").groupBy("begin").agg(F.sum("n").alias("own"), F.sum("total").alias("total"))
     good = shares.filter(F.col("own") >= LAYOUT_SHARE * F.col("total")).select("begin")

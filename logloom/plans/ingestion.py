@@ -23,7 +23,7 @@ from logloom.operators import chat, chunk, normalize, parse
 from logloom.plans import retrieval
 from logloom.service import ChatRequest, Service, load_options
 from logloom.sources.checkpoints import Checkpoints
-from logloom.sources.files import read_files
+from logloom.sources.files import read_files, read_text
 from logloom.sources.store import PointStore
 from logloom.streaming.ingest import Scheduler, point_store, run_ingest, stream_ingest
 
@@ -62,6 +62,18 @@ def read_log_files(spark, sf):
     return _placed(read_files(spark, _sources(spark, sf), NOW, range_bytes=4096))
 
 
+def read_text_files(spark, sf):
+    """The same events by built-in operators, all files as one source."""
+    sources = _sources(spark, sf)
+    if not sources:
+        return _placed(read_files(spark, [], NOW)).select("source_id", "start_offset", "end_offset", "raw_text")
+    root = os.path.dirname(os.path.dirname(sources[0].path))
+    events = read_text(spark, LogSource("all", "file://" + root), NOW)
+    at = (F.col("attributes")[c].cast("bigint").alias(c) for c in ("start_offset", "end_offset"))
+    file = F.concat(F.lit("k"), F.regexp_extract(F.col("attributes")["path"], "/k=([0-9]+)/", 1))
+    return events.select(file.alias("source_id"), *at, "raw_text")
+
+
 def resume_log_files(spark, sf):
     """The events from saved offsets: none of files k % 3 = 0, behind the third event of k % 3 = 1, beyond the end of k % 3 = 2; one
     source's file is missing, and the file of offsets is read again as after a restart."""
@@ -383,7 +395,7 @@ def options_given(spark, sf):
 
 
 _ALL = (
-    read_log_files, resume_log_files, parse_raw_tiers, normalize_mixed_lines, chunk_mixed_lines, store_upserts, store_retained, ingest_runs, stream_points,
+    read_log_files, read_text_files, resume_log_files, parse_raw_tiers, normalize_mixed_lines, chunk_mixed_lines, store_upserts, store_retained, ingest_runs, stream_points,
     stored_points, scheduled_runs, chat_events, chat_sessions, service_responses, options_given,
 )
 
@@ -401,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
     no_match = chat.NO_MATCH
     return {
         "read_log_files": f"{_EVENTS} SELECT source_id, source_type, start_offset, end_offset, true AS has_path, TIMESTAMP '2026-05-01' AS ingested_at_utc, raw_text FROM events",
+        "read_text_files": f"{_EVENTS} SELECT source_id, start_offset, end_offset, raw_text FROM events",
         "resume_log_files": f"{_EVENTS} SELECT source_id, start_offset, end_offset, raw_text FROM events QUALIFY k % 3 <> 1 OR e > 3 OR max(e) OVER (PARTITION BY k) <= 3",
         "parse_raw_tiers": rf"""
             WITH t AS (SELECT raw_id, raw_text, {text} AS x FROM raw_logs),
